@@ -16,6 +16,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import shared_dir
+    from .idstore import read_digests, verify_manifest, write_store
+
+    path = shared_dir(spark, "idstore")
+    root = write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    verify_manifest(spark, path, root)
+    return read_digests(spark, path)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
