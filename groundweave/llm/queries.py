@@ -26,6 +26,26 @@ def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_lang, train_langid
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict_lang(docs, train_langid(docs))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, scan_secrets
+
+    return digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
