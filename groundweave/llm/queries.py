@@ -46,6 +46,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("tiles")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
