@@ -26,6 +26,19 @@ def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` as the compacted table's last manifest holds it, its text as a digest."""
+    from pyspark.sql import functions as F
+
+    from ._common import shared_dir
+    from .compaction import ShardTable
+
+    table = ShardTable(spark, shared_dir(spark, "shards"))
+    table.append(_table(spark, sf_dir, "documents"))
+    table.compact(force=True)
+    return table.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict_lang, train_langid
 
@@ -58,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"}
