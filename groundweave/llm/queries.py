@@ -39,6 +39,13 @@ def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build_index, search
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return search(build_index(rows), rows.where("vec_id % 50 = 0"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict_lang, train_langid
 
