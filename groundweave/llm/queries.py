@@ -26,6 +26,12 @@ def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` as the compacted table's last manifest holds it, its text as a digest."""
     from pyspark.sql import functions as F
