@@ -11,12 +11,15 @@ with many others in one call and told apart by the ids that open or close a word
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task a core
+
 #: Entries that each of a worker's two caches keeps; about 250 bytes each.
 CACHE_UNITS = 200_000
 #: Characters of text handled in one round.

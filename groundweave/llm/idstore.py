@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _bpe
 from ._common import id_and_text, texts_of
+from ._units import encode_array
 from ._words import mix
 from .packing import _rounds
 
@@ -108,11 +109,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
 
 def _stage(tokenizer: str, end_id: int):
     def run(batches):
-        encode, seen = _bpe.encoder(tokenizer).encode, set()
+        encoder, seen = _bpe.encoder(tokenizer), set()
         for batch in batches:
             for part in _rounds(batch):
                 rows = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encode(texts_of(part).to_pylist(), end_id), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), encode_array(encoder, texts_of(part), end_id), strict=True):
                     ids = np.frombuffer(raw, "<u4")
                     digests, sizes, last = [], [], 0
                     for end in cut_points(ids):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _bpe
 from ._common import id_and_text, texts_of
+from ._units import encode_array
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _FLUSH_BYTES = 4 << 20
@@ -125,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_i
 
     def pack(batches):
         task = TaskContext.get().partitionId()
-        encode = _bpe.encoder(tokenizer).encode
+        encoder = _bpe.encoder(tokenizer)
         rows: list[tuple] = []
         state = {"sequence": task << 33, "bytes": 0}
 
@@ -147,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_i
         packer = SumOfSquares(window, max_open, emit)
         for batch in batches:
             for part in _rounds(batch):
-                ids_of = encode(texts_of(part).to_pylist(), end_id)
+                ids_of = encode_array(encoder, texts_of(part), end_id)
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
                     packer.place(doc_id, ids)
                     if state["bytes"] >= _FLUSH_BYTES:
