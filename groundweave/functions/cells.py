@@ -10,12 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bng, custom_grid, geometry, quadbin
 from .wkb import col
 
 MAX_CELLS = 1_000_000
-_CHIPS = "array<struct<x:long,y:long,core:boolean,chip:binary>>"
+# Types as objects: workers import this module without a session that could parse their names.
+_DOUBLES = lambda *names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+_TILES = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
+_CHIPS = T.ArrayType(T.StructType([*_TILES.elementType.fields, T.StructField("core", T.BooleanType()), T.StructField("chip", T.BinaryType())]))
 
 
 def _grid_cells(g: geometry.Geometry, x0, y0, w, h, columns, rows):
@@ -82,28 +86,28 @@ def bng_tessellate(geom, res, keep_core_geom: bool = False) -> Column:
     return F.transform(found(col(geom)), lambda c: F.struct(bng.eastnorthasbng(c["x"] * edge, c["y"] * edge, r).alias("cellid"), c["core"].alias("core"), c["chip"].alias("chip")))
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(_DOUBLES("x", "y"))
 def centroid_of(values: pd.Series) -> pd.DataFrame:
     """Centroid of each geometry."""
     xy = [(None, None) if v is None or not len((g := geometry.parse(v)).coordinates()) else geometry.centroid(g) for v in values]
     return pd.DataFrame(xy, columns=["x", "y"], dtype=float)
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(_DOUBLES("x", "y"))
 def first_coordinate(values: pd.Series) -> pd.DataFrame:
     """First coordinate of each geometry."""
     xy = [(None, None) if v is None or not len(c := geometry.parse(v).coordinates()) else tuple(c[0, :2]) for v in values]
     return pd.DataFrame(xy, columns=["x", "y"], dtype=float)
 
 
-@F.pandas_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+@F.pandas_udf(_DOUBLES("xmin", "ymin", "xmax", "ymax"))
 def bounds_of(values: pd.Series) -> pd.DataFrame:
     """Envelope of each geometry."""
     rows = [(None,) * 4 if v is None or (b := geometry.parse(v).bounds()) is None else b for v in values]
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def area_of(values: pd.Series) -> pd.Series:
     """Area of each geometry in the units of its coordinates."""
     return pd.Series([None if v is None else geometry.area(geometry.parse(v)) for v in values], dtype=float)
@@ -132,7 +136,7 @@ def bng_explode(cells: Column) -> Column:
 
 
 def _binary(operation):
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         made = [None if a is None or b is None else geometry.to_wkb(operation([geometry.parse(a), geometry.parse(b)])) for a, b in zip(left, right, strict=True)]
         return pd.Series(made, dtype=object)
@@ -192,12 +196,12 @@ def bng_box(cell: str) -> tuple[int, int, int, int]:
     return x, y, x + edge, y + edge
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _intersection_agg(ids: pd.Series, cores: pd.Series, chips: pd.Series) -> bytes:
     return _folded(geometry.intersection, False)(ids, cores, chips)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _union_agg(ids: pd.Series, cores: pd.Series, chips: pd.Series) -> bytes:
     return _folded(geometry.union, True)(ids, cores, chips)
 
@@ -220,7 +224,7 @@ def custom_pointascell(point, grid, res) -> Column:
     return custom_grid.pointascell_xy(p["x"], p["y"], grid, res)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _custom_positions(values: pd.Series, grids: pd.DataFrame, resolutions: pd.Series) -> pd.Series:
     out = []
     for v, spec, res in zip(values, grids.to_dict("records"), resolutions, strict=True):
@@ -245,7 +249,7 @@ def custom_polyfill(geom, grid, res) -> Column:
     return F.transform(_custom_positions(col(geom), col(grid), r), lambda p: custom_grid._id(r, p))
 
 
-@F.pandas_udf("array<struct<x:long,y:long>>")
+@F.pandas_udf(_TILES)
 def _envelope_tiles(values: pd.Series, resolutions: pd.Series) -> pd.Series:
     out = []
     for v, res in zip(values, resolutions, strict=True):
@@ -270,7 +274,7 @@ def quadbin_polyfill(geom, res) -> Column:
     return F.transform(_envelope_tiles(col(geom), r), lambda t: quadbin.from_tile(r, t["x"], t["y"]))
 
 
-@F.pandas_udf("array<binary>")
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
 def _cut(values: pd.Series, boxes: pd.Series) -> pd.Series:
     out = []
     for v, bs in zip(values, boxes, strict=True):
@@ -303,13 +307,13 @@ def _quadbin_union(cells) -> bytes | None:
     return geometry.to_wkb(geometry.union(boxes), srid=True) if boxes else None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def quadbin_cellunion(cells: pd.Series) -> pd.Series:
     """Union of an array's cells, EWKB 4326."""
     return pd.Series([None if c is None else _quadbin_union(c) for c in cells], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _quadbin_union_agg(cells: pd.Series) -> bytes:
     return _quadbin_union(cells)
 
