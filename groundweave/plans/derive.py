@@ -28,10 +28,10 @@ def national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 97 % 700000).alias("e"), (F.col("o_custkey") * 131 % 1300000).alias("n"))
 
 
-PIXELS_SQL = 'SELECT l_suppkey % 16 AS tile_id, 1 AS band, (l_orderkey % 64)::INT AS "row", (l_partkey % 64)::INT AS col, round(avg(l_extendedprice), 2) AS value FROM lineitem GROUP BY ALL'
+PIXELS_SQL = 'SELECT l_suppkey % 16 AS tile_id, 1 AS band, (l_orderkey % 64)::INT AS "row", (l_partkey % 64)::INT AS col, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL'
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pixel relation: tile_id, band, row, col, value; a pixel that no line has is NoData."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("tile_id"), F.lit(1).alias("band"), (F.col("l_orderkey") % 64).cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col"), "l_extendedprice")
-    return rows.groupBy("tile_id", "band", "row", "col").agg(F.round(F.avg("l_extendedprice"), 2).alias("value"))
+    return rows.groupBy("tile_id", "band", "row", "col").agg(F.max("l_extendedprice").alias("value"))
