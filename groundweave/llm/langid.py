@@ -87,11 +87,13 @@ def suffix_automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[current] = copy
         last = current
-    table = np.full((len(following), SYMBOLS), -1, np.int64)
+    # The last row stands before any phrase: every symbol begins one there.
+    none = len(following)
+    table = np.full((none + 1, SYMBOLS), -1, np.int64)
     for state, moves in enumerate(following):
         for c, target in moves.items():
             table[state, c] = target
-    begin = np.where(table[0] >= 0, table[0], 0) * SYMBOLS  # a sign the sample lacks is a phrase of its own
+    begin = np.where(table[0] >= 0, table[0], none) * SYMBOLS  # a sign the sample lacks is a phrase of its own
     out = np.where(table >= 0, table * SYMBOLS, ~begin[None, :])
     out[:, _PAD] = 0
     return out.astype(np.int32).ravel()
@@ -112,7 +114,7 @@ def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, automata: list[np.nd
         steps = np.where(where < end[:, None], symbols[np.minimum(where, len(symbols) - 1)], _PAD).T.astype(np.int32)
         steps = np.ascontiguousarray(steps)
         for k, table in enumerate(automata):
-            state, missed = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
+            state, missed = np.full(len(own), len(table) - SYMBOLS, np.int32), np.zeros(len(own), np.int32)
             for step in steps:
                 state += step
                 state = table.take(state)
@@ -120,7 +122,7 @@ def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, automata: list[np.nd
                 missed -= lost
                 state ^= lost
             out[:, k] += np.bincount(own, missed, len(sizes))
-    return out + pieces[:, None]
+    return out
 
 
 def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_doc: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray], np.ndarray]:
