@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path that driver and executors share.
 
@@ -59,6 +63,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back, so that reused workers don't hold the peak of each task they had."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 #: Cells of a sketch that travel as one row.
 BLOCK = 1 << 14
 

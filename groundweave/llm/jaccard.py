@@ -12,11 +12,15 @@ they bring, from the frequencies of a sketch over all documents.
    single node go there. Shingles that the sketch knows as hot are dealt by node as well.
 3. In each bucket (nodes of one shingle) every node is a candidate with the bucket's leader,
    the node with fewest rare shingles before it: linear in the postings.
-4. Candidates that share enough and pass the size and position bounds are verified on
-   their sets, which a pass over the texts gives for the nodes of candidates alone.
+4. Of a node's leaders that share enough and pass the size and position bounds, the
+   ``LEADERS`` that share most are verified on their sets, which a pass over the texts
+   gives for the nodes of candidates alone. This only joins up what it can at once; step 5
+   leaves nothing out.
 5. Components of the links found are labelled. What is left are pairs of one bucket in
    different components: those of a bucket's largest component need no look at each other,
-   so only the rest is joined with the bucket, filtered, counted and verified alike.
+   so only the rest is compared with the bucket. Where that makes few pairs, they are
+   joined, filtered, counted and verified alike; where it makes many, the nodes are dealt
+   into blocks and whole blocks are compared, without a row for a pair.
 
 Steps 3 and 5 together look at every pair that could link but those already connected, so
 the components are exact, while a group of g near copies costs about g pairs, not g^2. In
@@ -38,12 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, merged_sketch, remove, shared_dir, sketch_blocks, stored, texts_of
+from ._common import id_and_text, merged_sketch, shared_dir, sketch_blocks, stored, texts_of, trim
 from ._components import connected_components
 from ._words import Words, shingle_sets, slices, text_buffer
 
 #: Cells of the frequency sketch (a power of two), most matches asked of a prefix, frequency from which a shingle is dealt by node as well.
 CELLS, MOST_MATCHES, HOT = 1 << 20, 3, 20_000
+#: Pairs in a bucket from which its nodes are compared by blocks, and nodes of a block.
+WIDE, BLOCK_NODES = 1024, 256
+#: Leaders that a node is compared with first; those that share most of its prefix.
+LEADERS = 2
 
 
 def _sets(batches, k: int):
@@ -54,6 +62,7 @@ def _sets(batches, k: int):
         for i, j in slices(offsets):
             values, bounds = shingle_sets(Words(raw, offsets[i : j + 1]), k)
             yield ids[i:j], values, bounds
+    trim()
 
 
 def _set_hash(values: np.ndarray) -> tuple[int, int]:
@@ -187,26 +196,30 @@ def _id_filter(ids: DataFrame, size: int = 1 << 20) -> np.ndarray:
     return merged_sketch(ids.mapInArrow(mark, "block int, cells binary"), size) > 0
 
 
-def _verified(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their sets' intersection."""
+def _sets_of(source: DataFrame, k: int, **ids: DataFrame) -> DataFrame:
+    """The stored shingle sets of the documents with these ids (one column ``id`` a frame), and a flag for each frame that may have it.
+
+    A pass over the texts; the id filters have a fixed size, and what passes them by chance falls away in the joins.
+    """
     spark = source.sparkSession
-    path = shared_dir(spark, "sets")
-    hubs = pairs.select(F.col("a").alias("id")).distinct()
-    leaves = pairs.select(F.col("b").alias("id")).distinct()
-    shared = spark.sparkContext.broadcast((_id_filter(hubs), _id_filter(leaves)))  # two tables of fixed size
+    shared = spark.sparkContext.broadcast([_id_filter(f) for f in ids.values()])
+    names = list(ids)
 
     def run(batches):
-        tables = shared.value
-        for ids, values, bounds in _sets(batches, k):
-            known = np.array([0 if i is None else i for i in ids], np.int64)
-            passed = [np.logical_and.reduce([t[c] for c in _bits(known, len(t))]) for t in tables]
-            at = [d for d in np.flatnonzero(passed[0] | passed[1]).tolist() if ids[d] is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d in at], pa.int64()), pa.array([bool(passed[0][d]) for d in at], pa.bool_()), pa.array([bool(passed[1][d]) for d in at], pa.bool_()), pa.array([values[bounds[d] : bounds[d + 1]].tobytes() for d in at], pa.binary())],
-                ["id", "hub", "leaf", "shingles"],
-            )
-
-    sets = stored(source.mapInArrow(run, "id long, hub boolean, leaf boolean, shingles binary"), path)
+        for own, values, bounds in _sets(batches, k):
+            known = np.array([0 if i is None else i for i in own], np.int64)
+            passed = [np.logical_and.reduce([t[c] for c in _bits(known, len(t))]) for t in shared.value]
+            at = [d for d in np.flatnonzero(np.logical_or.reduce(passed)).tolist() if own[d] is not None]
+            flags = [pa.array([bool(p[d]) for d in at], pa.bool_()) for p in passed]
+            yield pa.RecordBatch.from_arrays([pa.array([own[d] for d in at], pa.int64()), *flags, pa.array([values[bounds[d] : bounds[d + 1]].tobytes() for d in at], pa.binary())], ["id", *names, "shingles"])
+
+    return stored(source.mapInArrow(run, f"id long, {', '.join(f'{n} boolean' for n in names)}, shingles binary"), shared_dir(spark, "sets"))
+
+
+def _verified(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by their sets' intersection."""
+    spark = source.sparkSession
+    sets = _sets_of(source, k, hub=pairs.select(F.col("a").alias("id")).distinct(), leaf=pairs.select(F.col("b").alias("id")).distinct())
     left = sets.where("hub").select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.where("leaf").select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
 
@@ -220,9 +233,50 @@ def _verified(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    links = stored(joined.mapInArrow(check, "a long, b long").distinct(), shared_dir(spark, "links"))
-    remove(spark, path)
-    return links
+    return stored(joined.mapInArrow(check, "a long, b long").distinct(), shared_dir(spark, "links"))
+
+
+def _blockwise(source: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between each group's nodes outside its main component and all its nodes, a block against a block.
+
+    ``members``: grp, node, component. A task holds the sets of two blocks of about ``BLOCK_NODES``
+    nodes and counts their intersections by shingle; of a node's links to one component it
+    returns one. No row stands for a pair, so a group of many near copies costs comparisons only.
+    """
+    sets = _sets_of(source, k, member=members.select(F.col("node").alias("id")).distinct()).select(F.col("id").alias("node"), "shingles").dropDuplicates(["node"])
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("grp")).alias("u"))
+    sizes = sizes.select("grp", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("n_blocks"), F.ceil(F.col("u") / BLOCK_NODES).cast("int").alias("u_blocks")).where("u_blocks > 0")
+    held = members.join(sizes, "grp").join(sets, "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = held.where("component <> grp").select("grp", own("u_blocks").alias("i"), every("n_blocks").alias("j"), "node", "component", "shingles")
+    right = held.select(F.col("grp").alias("grp_r"), every("u_blocks").alias("i_r"), own("n_blocks").alias("j_r"), F.col("node").alias("node_r"), F.col("component").alias("component_r"), F.col("shingles").alias("shingles_r"))
+
+    def check(some, others):
+        import pandas as pd
+
+        found = []
+        if len(some) and len(others):
+            arrays = [np.frombuffer(v, "<u8") for v in others["shingles_r"]]
+            sizes_of = np.array([len(v) for v in arrays])
+            owner = np.repeat(np.arange(len(arrays)), sizes_of)
+            tokens = np.concatenate(arrays)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            nodes, components = others["node_r"].to_numpy(), others["component_r"].to_numpy()
+            for node, component, raw in zip(some["node"], some["component"], some["shingles"], strict=True):
+                mine = np.frombuffer(raw, "<u8")
+                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                count = hi - lo
+                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(arrays))
+                good = (100 * both >= percent * (len(mine) + sizes_of - both)) & (components != component)
+                if good.any():
+                    _, first = np.unique(components[good], return_index=True)
+                    found += [(node, int(b)) for b in nodes[good][first]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp_r", "i_r", "j_r")).applyInPandas(check, "a long, b long")
 
 
 def _needed(percent: int):
@@ -240,7 +294,7 @@ def _counted(matches: DataFrame, percent: int) -> DataFrame:
     """Pairs that share enough prefix shingles, of which the first lies early enough."""
     per = matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *(F.min(c).alias(c) for c in ("n_a", "n_b", "pos_a", "pos_b", "l_a", "l_b")))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    return per.where((F.col("shared") >= F.least("l_a", "l_b")) & (rest >= _needed(percent))).select("a", "b")
+    return per.where((F.col("shared") >= F.least("l_a", "l_b")) & (rest >= _needed(percent))).select("a", "b", "shared")
 
 
 def _side(frame: DataFrame, s: str, *more: str) -> DataFrame:
@@ -264,24 +318,33 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
 
     lead = postings.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos", "l")).alias("x")).select("token", "x.node", "x.n", "x.pos", "x.l")
     stars = _side(postings, "b").join(_side(lead, "a"), "token").where((F.col("a") != F.col("b")) & _close(percent))
-    links = _verified(source, stored(_counted(stars, percent), shared_dir(spark, "stars-of")), k, percent)
+    nearest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
+    first_pairs = _counted(stars, percent).withColumn("rank", nearest).where(F.col("rank") <= LEADERS).select("a", "b")
+    links = _verified(source, stored(first_pairs, shared_dir(spark, "stars-of")), k, percent)
     parts_of = stored(connected_components(links), shared_dir(spark, "round"))
 
     named = postings.join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     path_named = shared_dir(spark, "named")
     named = stored(named, path_named)
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("components")).where("components > 1").select("token", F.col("x.component").alias("main"))
-    mixed = named.join(largest, "token")
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("nodes")).where("components > 1")
+    largest = largest.select("token", F.col("x.component").alias("main"), ((F.col("nodes") - F.col("x.size")) * F.col("nodes") > WIDE).alias("wide"))
+    split = stored(named.join(largest, "token"), shared_dir(spark, "mixed"))
+    mixed = split.where("not wide").drop("wide")
+    members = stored(split.where("wide").select(F.col("main").alias("grp"), "node", "component").distinct(), shared_dir(spark, "members"))
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
     minor = _side(mixed.where("component <> main"), "a", "component")
     rest = minor.join(_side(mixed, "b", "component", "main"), "token").where(apart & _close(percent))
     swap = F.col("a") > F.col("b")
     ordered = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for c in ("", "n_", "pos_", "l_") for x, y in ((f"{c}a", f"{c}b"), (f"{c}b", f"{c}a"))]
-    known = stored(_counted(rest.select(*ordered), percent), shared_dir(spark, "rest-of"))
+    known = stored(_counted(rest.select(*ordered), percent).select("a", "b"), shared_dir(spark, "rest-of"))
+    more = links
     if known.limit(1).count():
-        links = links.union(_verified(source, known, k, percent))
-        parts_of = stored(connected_components(links), shared_dir(spark, "final"))
+        more = more.union(_verified(source, known, k, percent))
+    if members.limit(1).count():
+        more = more.union(stored(_blockwise(source, members, k, percent), shared_dir(spark, "blocks")))
+    if more is not links:
+        parts_of = stored(connected_components(more), shared_dir(spark, "final"))
 
     component = classes.join(parts_of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = every.join(component, ["h1", "h2"], "left")
