@@ -16,7 +16,7 @@ import pyarrow as pa
 from ._words import _power_tables, mix, slices, text_buffer
 
 #: Entries that a worker's cache keeps.
-CACHE_RUNS = 1_500_000
+CACHE_RUNS = 1_000_000
 
 _LETTER, _DIGIT, _SIGN, _BLANK, _LINE, _ODD = 1, 2, 3, 0, 4, 5
 _KIND = np.full(256, _ODD, np.uint8)
@@ -45,7 +45,7 @@ class Runs:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
         out: list[bytes] = []
-        for i, j in slices(offsets, 3 << 20):
+        for i, j in slices(offsets, 2 << 20):
             out += self._slice(raw, offsets[i : j + 1], end_id)
         return out
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._common import id_and_text, texts_of
+from ._common import id_and_text, texts_of, trim
 from ._units import encode_array
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -156,6 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_i
         packer.close()
         if rows:
             yield taken()
+        trim()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(pack, SCHEMA)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, texts_of
+from ._common import id_and_text, texts_of, trim
 from ._words import gram_hashes, mix, slices, text_buffer, _power_tables
 
 BITS = 18
@@ -170,5 +170,6 @@ def keep_quality(docs: DataFrame, weights: np.ndarray, *, threshold: float = THR
             if batch.num_rows:
                 texts = batch.column(at)
                 yield batch.filter(pa.array(_scores(texts.fill_null("") if texts.null_count else texts, shared.value) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
