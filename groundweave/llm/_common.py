@@ -43,6 +43,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes stored frames that are done with, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    for path in paths:
+        remove(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The frame written once as Parquet and read back: lineage ends in files that all executors see."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)

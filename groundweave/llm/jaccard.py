@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, merged_sketch, shared_dir, sketch_blocks, stored, texts_of, trim
+from ._common import dropped, id_and_text, merged_sketch, shared_dir, sketch_blocks, stored, texts_of, trim
 from ._components import connected_components
 from ._words import Words, shingle_sets, slices, text_buffer
 
 #: Cells of the frequency sketch (a power of two), most matches asked of a prefix, frequency from which a shingle is dealt by node as well.
 CELLS, MOST_MATCHES, HOT = 1 << 20, 3, 20_000
 #: Pairs in a bucket from which its nodes are compared by blocks, and nodes of a block.
-WIDE, BLOCK_NODES = 1024, 256
+WIDE, BLOCK_NODES = 1024, 1024
 #: Leaders that a node is compared with first; those that share most of its prefix.
 LEADERS = 2
 
@@ -196,8 +196,8 @@ def _id_filter(ids: DataFrame, size: int = 1 << 20) -> np.ndarray:
     return merged_sketch(ids.mapInArrow(mark, "block int, cells binary"), size) > 0
 
 
-def _sets_of(source: DataFrame, k: int, **ids: DataFrame) -> DataFrame:
-    """The stored shingle sets of the documents with these ids (one column ``id`` a frame), and a flag for each frame that may have it.
+def _sets_of(source: DataFrame, k: int, path: str, **ids: DataFrame) -> DataFrame:
+    """The shingle sets, stored at ``path``, of the documents with these ids (one column ``id`` a frame), and a flag for each frame that may have it.
 
     A pass over the texts; the id filters have a fixed size, and what passes them by chance falls away in the joins.
     """
@@ -213,13 +213,14 @@ def _sets_of(source: DataFrame, k: int, **ids: DataFrame) -> DataFrame:
             flags = [pa.array([bool(p[d]) for d in at], pa.bool_()) for p in passed]
             yield pa.RecordBatch.from_arrays([pa.array([own[d] for d in at], pa.int64()), *flags, pa.array([values[bounds[d] : bounds[d + 1]].tobytes() for d in at], pa.binary())], ["id", *names, "shingles"])
 
-    return stored(source.mapInArrow(run, f"id long, {', '.join(f'{n} boolean' for n in names)}, shingles binary"), shared_dir(spark, "sets"))
+    return stored(source.mapInArrow(run, f"id long, {', '.join(f'{n} boolean' for n in names)}, shingles binary"), path)
 
 
 def _verified(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their sets' intersection."""
     spark = source.sparkSession
-    sets = _sets_of(source, k, hub=pairs.select(F.col("a").alias("id")).distinct(), leaf=pairs.select(F.col("b").alias("id")).distinct())
+    path = shared_dir(spark, "sets")
+    sets = _sets_of(source, k, path, hub=pairs.select(F.col("a").alias("id")).distinct(), leaf=pairs.select(F.col("b").alias("id")).distinct())
     left = sets.where("hub").select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.where("leaf").select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
 
@@ -233,7 +234,9 @@ def _verified(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return stored(joined.mapInArrow(check, "a long, b long").distinct(), shared_dir(spark, "links"))
+    links = stored(joined.mapInArrow(check, "a long, b long").distinct(), shared_dir(spark, "links"))
+    dropped(spark, path)
+    return links
 
 
 def _blockwise(source: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -243,7 +246,8 @@ def _blockwise(source: DataFrame, members: DataFrame, k: int, percent: int) -> D
     nodes and counts their intersections by shingle; of a node's links to one component it
     returns one. No row stands for a pair, so a group of many near copies costs comparisons only.
     """
-    sets = _sets_of(source, k, member=members.select(F.col("node").alias("id")).distinct()).select(F.col("id").alias("node"), "shingles").dropDuplicates(["node"])
+    spark, path = source.sparkSession, shared_dir(source.sparkSession, "sets")
+    sets = _sets_of(source, k, path, member=members.select(F.col("node").alias("id")).distinct()).select(F.col("id").alias("node"), "shingles").dropDuplicates(["node"])
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("grp")).alias("u"))
     sizes = sizes.select("grp", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("n_blocks"), F.ceil(F.col("u") / BLOCK_NODES).cast("int").alias("u_blocks")).where("u_blocks > 0")
     held = members.join(sizes, "grp").join(sets, "node")
@@ -276,7 +280,9 @@ def _blockwise(source: DataFrame, members: DataFrame, k: int, percent: int) -> D
                     found += [(node, int(b)) for b in nodes[good][first]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp_r", "i_r", "j_r")).applyInPandas(check, "a long, b long")
+    links = stored(left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp_r", "i_r", "j_r")).applyInPandas(check, "a long, b long"), shared_dir(spark, "blocks"))
+    dropped(spark, path)
+    return links
 
 
 def _needed(percent: int):
@@ -315,6 +321,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
     tokens = packed.mapInArrow(_shared_tokens, "token long, h1 long, h2 long, n int, pos int, l int")
     path = shared_dir(spark, "postings")
     postings = stored(tokens.join(classes, ["h1", "h2"]).select("token", "node", "n", "pos", "l"), path)
+    dropped(spark)
 
     lead = postings.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos", "l")).alias("x")).select("token", "x.node", "x.n", "x.pos", "x.l")
     stars = _side(postings, "b").join(_side(lead, "a"), "token").where((F.col("a") != F.col("b")) & _close(percent))
@@ -326,11 +333,13 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
     named = postings.join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     path_named = shared_dir(spark, "named")
     named = stored(named, path_named)
+    dropped(spark, path)
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("nodes")).where("components > 1")
     largest = largest.select("token", F.col("x.component").alias("main"), ((F.col("nodes") - F.col("x.size")) * F.col("nodes") > WIDE).alias("wide"))
     split = stored(named.join(largest, "token"), shared_dir(spark, "mixed"))
     mixed = split.where("not wide").drop("wide")
+    dropped(spark, path_named)
     members = stored(split.where("wide").select(F.col("main").alias("grp"), "node", "component").distinct(), shared_dir(spark, "members"))
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
     minor = _side(mixed.where("component <> main"), "a", "component")
@@ -342,7 +351,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col
     if known.limit(1).count():
         more = more.union(_verified(source, known, k, percent))
     if members.limit(1).count():
-        more = more.union(stored(_blockwise(source, members, k, percent), shared_dir(spark, "blocks")))
+        more = more.union(_blockwise(source, members, k, percent))
     if more is not links:
         parts_of = stored(connected_components(more), shared_dir(spark, "final"))
 
