@@ -1,7 +1,7 @@
 """Documents that contain benchmark items: greedy string tiling over words.
 
-Words are runs of letters and digits, ASCII letters lowered, so that signs and case don't
-hide a passage. Seeds are word ``seed``-grams that a document shares with an item: the
+Words are runs of Unicode letters and digits of the text in NFC, case folded, so that signs,
+case and decomposed accents don't hide a passage. Seeds are word ``seed``-grams that a document shares with an item: the
 items' grams are a sorted table, the documents' gram hashes are looked up in it. For each
 document and item with a seed, tiling runs: of all matches between words not yet marked,
 the longest is marked first, then the next, down to ``least`` words; matches are found by
@@ -22,6 +22,10 @@ ignored by ``contaminated`` and kept by ``drop_contaminated``.
 from __future__ import annotations
 
 import heapq
+import sys
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,41 @@ _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+@cache
+def _apart() -> np.ndarray:
+    """Flag of every code point that separates words."""
+    return np.array([not chr(i).isalnum() for i in range(sys.maxunicode + 1)])
+
+
+def _folded(text: str) -> str:
+    """NFC and case folded, what isn't a letter or digit as a blank."""
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.where(_apart()[points], np.uint32(32), points).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def words_of(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """(first document, words) of each slice of texts; ASCII texts are split and lowered as bytes."""
+    raw, offsets = text_buffer(texts)
+    for i, j in slices(offsets):
+        part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        high = np.concatenate([[0], np.cumsum(part >= 128)])
+        if high[-1]:
+            plain = (high[off[1:]] == high[off[:-1]]).tolist()
+            data = part.tobytes()
+            bounds = zip(off[:-1].tolist(), off[1:].tolist(), plain, strict=True)
+            made = [data[a:b] if ascii_only else _folded(data[a:b].decode()).encode() for a, b, ascii_only in bounds]
+            part = np.frombuffer(b"".join(made), np.uint8)
+            off = np.concatenate([[0], np.cumsum([len(m) for m in made], dtype=np.int64)])
+        yield i, Words(part, off, skip=_APART)
+
+
 class Items:
     """The items' words and the sorted table of their grams."""
 
     def __init__(self, ids: list, texts: list[str | None], seed: int, least: int):
         self.ids, self.seed, self.least = ids, seed, least
-        raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
-        words = Words(raw, offsets, skip=_APART)
-        self.words = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
+        self.words = [w.hash[w.first[d] : w.first[d + 1]] for _, w in words_of(pa.array(texts, pa.large_string())) for d in range(len(w.first) - 1)]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         grams: dict[int, list[tuple[np.ndarray, int]]] = {}
         for i, w in enumerate(self.words):
@@ -132,10 +163,8 @@ def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, i
 
 def _found(texts: pa.Array, items: Items, threshold: float) -> list[tuple[int, int, int, int, float, list]]:
     """(document, item, words under tiles, tiles, coverage, tiles' places) of contaminated documents."""
-    raw, offsets = text_buffer(texts)
     rows = []
-    for i, j in slices(offsets):
-        words = Words(raw, offsets[i : j + 1], skip=_APART)
+    for i, words in words_of(texts):
         for d, item in items.seeded(words):
             pattern, text = items.words[item], words.hash[words.first[d] : words.first[d + 1]]
             tiles = tile(pattern, text, items.least)

@@ -338,6 +338,23 @@ def test_prefixes_lose_nothing():
             assert len(set(sorted(a)[:pa_]) & set(sorted(b)[:pb])) >= min(la, lb)
 
 
+def test_decontamination_unicode(spark):
+    import unicodedata
+
+    from groundweave.llm.decontam import contaminated, drop_contaminated
+
+    item = "déjà vu l’été où j’ai mangé à la plage près du château fort éclairé"
+    texts = {
+        1: item.upper(), 2: item.replace("’", " — “ "), 3: unicodedata.normalize("NFD", item), 4: item.replace(" ", "\u00a0"), 5: "rien de tout cela n’est écrit ici, ni là-bas, ni ailleurs",
+        6: "die STRASSE ist heute sehr glatt und lang", 7: "plain ascii between them",
+    }
+    table = spark.createDataFrame([*texts.items(), (8, None)], "doc_id long, text string").repartition(1)
+    bench = spark.createDataFrame([(20, item), (21, "Die Straße ist heute sehr glatt")], "item_id long, text string")
+    got = contaminated(table, bench).toPandas()
+    assert sorted(zip(got.doc_id, got.item_id, got.coverage, strict=True)) == [(1, 20, 1.0), (2, 20, 1.0), (3, 20, 1.0), (4, 20, 1.0), (6, 21, 1.0)]
+    assert sorted(r.doc_id for r in drop_contaminated(table, bench).collect()) == [5, 7, 8]
+
+
 def test_decontamination(spark, docs, none):
     from groundweave.llm.decontam import contaminated, drop_contaminated, tile
 
