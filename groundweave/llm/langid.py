@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text is built.
 A document is parsed greedily: the longest stretch that occurs in the sample is a phrase,
-and the next one starts where it ends. Fewer phrases for a document's length mean lower
-cross-entropy with that language. Letters are lowered; the sample's most frequent letters
+and the next one starts where it ends. A phrase is spelled by its place in the sample and
+its length, log2(symbols of the sample) + log2(``STRETCH``) bits; fewer bits mean lower
+cross-entropy with that language, so samples of any size compare: a short one has cheaper
+places, but its phrases are shorter still, except in what it really holds. Letters are lowered; the sample's most frequent letters
 have symbols of their own, other letters share one, and any run of other signs is one blank.
 
 Automata are dense tables of ``SYMBOLS`` columns: a transition that is missing holds the
@@ -12,7 +14,8 @@ symbols and all stretches of a batch advance together, a symbol a step; a cut en
 phrase in every language alike.
 
 Learned from: at most ``docs_per_lang`` rows of each language (those of least hash), and at
-most ``chars_per_doc`` characters of each. Predictions read whole texts.
+most ``chars_per_doc`` characters of each, in ``PIECES`` pieces from its head to its end.
+Each language has its own sample; none is cut for another's. Predictions read whole texts.
 
 Null text, and text without a letter, gives ``und`` with score 0; ties go to the language
 that sorts first; a null doc_id stays null; repeated rows get equal results; with nothing
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import texts_of
 from .quality import held_out
 
-SYMBOLS, STRETCH = 64, 256
+SYMBOLS, STRETCH, PIECES = 64, 256, 4
 _BLANK, _OTHER, _FIRST, _PAD = 0, 1, 2, 63
 
 
@@ -125,9 +128,16 @@ def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, automata: list[np.nd
     return out
 
 
-def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_doc: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray], np.ndarray]:
-    """(languages, automata, symbol table) learned from labelled rows that aren't held out."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), F.substring(docs[text_col], 1, chars_per_doc).alias("text"))
+def _pieces(text, most: int):
+    """At most ``most`` characters of a text, spread evenly over it."""
+    size = max(1, most // PIECES)
+    at = lambda i: F.floor((F.length(text) - size) * i / (PIECES - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *(F.substring(text, at(i), F.lit(size)) for i in range(PIECES))))
+
+
+def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_doc: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(languages, automata, symbol table, bits of a phrase) learned from labelled rows that aren't held out."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), _pieces(docs[text_col].cast("string"), chars_per_doc).alias("text"))
     usable = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     # At most docs_per_lang short rows of each language reach the driver.
@@ -135,20 +145,20 @@ def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_doc: int
     languages = sorted({r.lang for r in got})
     samples = {lang: [r.text for r in got if r.lang == lang] for lang in languages}
     table = symbol_table([t for texts in samples.values() for t in texts])
-    least = min((sum(map(len, texts)) for texts in samples.values()), default=0)
-    automata = []
+    automata, bits = [], []
     for lang in languages:
         symbols, _, _ = symbols_of(samples[lang], table)
-        automata.append(suffix_automaton(symbols[: max(least, 1)]))  # equal samples, comparable counts
-    return languages, automata, table
+        automata.append(suffix_automaton(symbols))
+        bits.append(np.log2(len(symbols)) + np.log2(STRETCH))
+    return languages, automata, table, np.array(bits)
 
 
-def predict_lang(docs: DataFrame, model: tuple[list[str], list[np.ndarray], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict_lang(docs: DataFrame, model: tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score (the winner's share of likelihood, from 0 to 1) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training parameters
 
     def run(batches):
-        languages, automata, table = shared.value
+        languages, automata, table, bits = shared.value
         for batch in batches:
             texts = texts_of(batch).to_pylist()
             names, scores = [], []
@@ -160,7 +170,7 @@ def predict_lang(docs: DataFrame, model: tuple[list[str], list[np.ndarray], np.n
                     to += 1
                 symbols, offsets, letters = symbols_of(texts[at:to], table)
                 if languages:
-                    counts = phrase_counts(symbols, offsets, automata)
+                    counts = phrase_counts(symbols, offsets, automata) * (bits / bits.max())  # in phrases of the largest sample
                     best = counts.argmin(axis=1)
                     odds = np.exp(-np.clip(counts - counts.min(axis=1, keepdims=True), 0, 700))
                     share = 1 / odds.sum(axis=1)

@@ -228,6 +228,26 @@ def test_langid(spark, docs, none, sf_dir):
     assert phrase_counts(text, np.array([0, 200]), [suffix_automaton(sample)])[0, 0] == plain
 
 
+def test_langid_samples(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from groundweave.llm.langid import predict_lang, train_langid
+    from groundweave.llm.quality import held_out
+
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.range(10**6, 10**6 + 50).withColumnRenamed("id", "doc_id").where(~held_out(F.col("doc_id"))).limit(1)
+    for short in ("brief note by one hand", "q"):  # one short label leaves the full languages as they are
+        model = train_langid(real.unionByName(odd.withColumn("text", F.lit(short)).withColumn("lang", F.lit("xx"))))
+        assert "xx" in model[0]
+        got = predict_lang(real, model).join(real.select("doc_id", "lang"), "doc_id").toPandas()
+        assert (got.lang == got.lang_pred).mean() > 0.95
+    head = "the same notice stands before every text of this table " * 20
+    tails = {"a": "wollen wir heute noch einmal durch den alten garten gehen ", "b": "porque nunca quiso volver a la casa donde vivieron juntos "}
+    table = spark.createDataFrame([(i, head + tails["ab"[i % 2]] * 20, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    found = predict_lang(table, train_langid(table)).join(table.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (found.lang == found.lang_pred).all()
+
+
 def test_quality(spark, docs, none, sf_dir):
     from groundweave.llm.quality import keep_quality, score_quality, train_quality
 
