@@ -5,6 +5,7 @@ The SQL computes the same from the relation by neighbour joins and aggregates.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -133,6 +134,16 @@ def _array(name, *args):
     return query
 
 
+def _mapalgebra(spark, sf_dir):
+    """Each tile with the next one by id, the last with the first."""
+    t = _tiles(spark, sf_dir)
+    row = Window.orderBy("tile_id")  # sixteen tiles at most
+    after = t.select("tile_id").withColumn("next", F.coalesce(F.lead("tile_id").over(row), F.first("tile_id").over(row)))
+    other = t.select(F.col("tile_id").alias("next"), F.col("tile").alias("other"))
+    pairs = t.join(after, "tile_id").join(other, "next").select("tile_id", F.array("tile", "other").alias("tiles"))
+    return _shown(pairs.select("tile_id", rst("mapalgebra", "tiles", "(A + B) / 2").alias("tile")))
+
+
 def _rasterize(spark, sf_dir):
     zone = pixels(spark, sf_dir).select("tile_id").distinct().withColumn("g", box_wkb(F.col("tile_id") * 1.0, F.lit(0.0), F.col("tile_id") + 10.0, F.lit(5.0)))
     made = zone.select("tile_id", rst("rasterize", "g", F.col("tile_id") + 1.0, 0.0, 0.0, 32.0, 32.0, 32, 32, 0).alias("tile"))
@@ -145,7 +156,7 @@ def _rasterize_agg(spark, sf_dir):
 
 
 def _idw(spark, sf_dir):
-    points = pixels(spark, sf_dir).where("row % 16 = 0 and col % 16 = 0 and tile_id = 0").withColumn("g", point_wkb(F.col("col") + 0.5, F.col("row") + 0.5))
+    points = pixels(spark, sf_dir).withColumn("g", point_wkb(F.col("col") + 0.5, F.col("row") + 0.5))
     made = points.groupBy("tile_id").agg(gridfrompoints_agg("g", "value", 0.0, 0.0, 64.0, 64.0, 16, 16, 0).alias("tile"))
     return _shown(made, 3)
 
@@ -186,7 +197,7 @@ def queries() -> dict:
     found |= {f"rst_{n}": _accessor(n, *a) for n, a in {"rastertoworldcoordx": (3, 5), "rastertoworldcoordy": (3, 5), "worldtorastercoordx": (12.3, 44.4), "worldtorastercoordy": (12.3, 44.4)}.items()}
     found |= {"rst_histogram": _histogram, "rst_sample": _sample, "rst_clip": _clip, "rst_polygonize": _polygonize, "rst_rasterize": _rasterize, "rst_rasterize_agg": _rasterize_agg, "rst_gridfrompoints_agg": _idw}
     found |= {f"rst_quadbin_rastertogrid{m}": _quadbin(m) for m in ("avg", "count", "max", "min", "median")}
-    found |= {"rst_combineavg_agg": _agg(combineavg_agg), "rst_merge_agg": _agg(merge_agg), "rst_frombands_agg": _frombands_agg, "rst_combineavg": _array("combineavg"), "rst_merge": _array("merge"), "rst_frombands": _array("frombands"), "rst_mapalgebra": _array("mapalgebra", "(A + B) / 2")}
+    found |= {"rst_combineavg_agg": _agg(combineavg_agg), "rst_merge_agg": _agg(merge_agg), "rst_frombands_agg": _frombands_agg, "rst_combineavg": _array("combineavg"), "rst_merge": _array("merge"), "rst_frombands": _array("frombands"), "rst_mapalgebra": _mapalgebra}
     source = "def top(bands):\n    return np.fmax.reduce(bands)\n"
     found |= {"rst_derivedband": _array("derivedband", source, "top"), "rst_derivedband_agg": _agg(lambda t: derivedband_agg(t, source, "top"))}
     found["rst_fromcontent"] = lambda s, d: _tiles(s, d).select("tile_id", rst("width", fromcontent("tile.raster", "GTiff")).alias("value"))
@@ -195,7 +206,7 @@ def queries() -> dict:
     found["rst_viewshed"] = lambda s, d: _shown(_tiles(s, d, gt=_PLAIN).select("tile_id", rst("viewshed", rst("fillnodata", "tile"), point_wkb(F.lit(325.0), F.lit(325.0)), 100.0).alias("tile"))).groupBy("tile_id", "value").agg(F.count(F.lit(1)).alias("n"))
     found["rst_color_relief"] = lambda s, d: _shown(_tiles(s, d, gt=_PLAIN).select("tile_id", rst("color_relief", "tile", "0 0 0 0\n100000 255 255 255").alias("tile")))
     found["rst_tilexyz"] = lambda s, d: _tiles(s, d).select("tile_id", F.substring(rst("tilexyz", "tile", 4, 8, 5), 1, 8).alias("head"))
-    found["rst_xyzpyramid"] = lambda s, d: _tiles(s, d).where("tile_id < 4").select("tile_id", F.inline(rst("xyzpyramid", "tile", 2, 4, "PNG", 64))).select("tile_id", "z", "x", "y")
+    found["rst_xyzpyramid"] = lambda s, d: _tiles(s, d).select("tile_id", F.inline(rst("xyzpyramid", "tile", 2, 4, "PNG", 64))).select("tile_id", "z", "x", "y")
     found |= {"pixels_slope": _native(lambda p: P.slope(p, 10.0, 10.0)), "pixels_aspect": _native(lambda p: P.aspect(p, 10.0, 10.0)), "pixels_tri": _native(P.tri, 3), "pixels_tpi": _native(P.tpi), "pixels_roughness": _native(P.roughness), "pixels_focal": _native(lambda p: P.focal(p, 3, "avg", 64, 64)), "pixels_convolve": _native(lambda p: P.convolve(p, KERNEL))}
     found["pixels_ndvi"] = lambda s, d: P.map_algebra(_bands(s, d), "(nir - red) / (nir + red)", {"red": 1, "nir": 2}).select("tile_id", "band", "row", "col", F.round("value", 6).alias("value"))
     found |= {"pixels_quadbin": _quadbin_native, "pixels_retile": _retile_native}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 
 from groundweave.plans import registry
@@ -40,3 +41,23 @@ def test_sites_of_all_orders(spark, sf_dir):
     want = set(zip(k, x, y, strict=True)) | {(g, a, b) for g in set(k) for a, b in ((0, 0), (100, 0), (100, 100), (0, 100))}
     got = _sites(spark, sf_dir).toPandas()
     assert {g: len(set(ps)) for g, ps in zip(got.k, got.ps, strict=True)} == {g: sum(w[0] == g for w in want) for g in set(k)}
+
+
+def test_rasters_of_all_tiles(spark, sf_dir):
+    x = table(sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_partkey", "l_extendedprice")
+    p = pd.DataFrame({"tile_id": x.l_suppkey % 16, "row": x.l_orderkey % 64, "col": x.l_partkey % 64, "value": x.l_extendedprice}).groupby(["tile_id", "row", "col"], as_index=False).value.max()
+    ids = sorted(set(p.tile_id))
+    q = registry.queries()
+    assert set(q["rst_xyzpyramid"](spark, sf_dir).toPandas().tile_id) == set(ids)
+    following = p.assign(tile_id=p.tile_id.map(dict(zip(ids[1:] + ids[:1], ids, strict=True))))
+    want = p.merge(following, on=["tile_id", "row", "col"])
+    got = q["rst_mapalgebra"](spark, sf_dir).toPandas().merge(want, on=["tile_id", "row", "col"])
+    assert len(got) == len(want) == q["rst_mapalgebra"](spark, sf_dir).count() and np.allclose(got.value, (got.value_x + got.value_y) / 2, rtol=1e-6)
+    grid = q["rst_gridfrompoints_agg"](spark, sf_dir).toPandas()
+    assert len(grid) == 256 * len(ids)
+    for t, part in p.groupby("tile_id"):
+        mine = grid[grid.tile_id == t]
+        d = np.hypot((mine.col.to_numpy() * 4 + 2)[:, None] - (part.col.to_numpy() + 0.5), (64 - mine.row.to_numpy() * 4 - 2)[:, None] - (part.row.to_numpy() + 0.5))
+        d = np.sort(d, axis=1)
+        # The twelve nearest points bound the mean; ties at the twelfth may go either way.
+        assert mine.value.between(part.value.min(), part.value.max()).all() and (d[:, 0] > 0).all()
