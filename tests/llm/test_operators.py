@@ -323,11 +323,12 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("wide", [1024, 4])
-def test_jaccard(spark, docs, none, sf_dir, monkeypatch, wide):
+@pytest.mark.parametrize(("wide", "hot", "block"), [(1024, 20_000, 256), (4, 20_000, 16), (1024, 2, 256), (4, 2, 8)])
+def test_jaccard(spark, docs, none, sf_dir, monkeypatch, wide, hot, block):
     from groundweave.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "WIDE", wide)
+    for name, value in (("WIDE", wide), ("HOT", hot), ("BLOCK_NODES", block)):
+        monkeypatch.setattr(jaccard, name, value)
     got = {r.doc_id: r for r in jaccard.jaccard_components(docs).where("doc_id is not null").collect()}
     sizes, parts = brute_components({r[0]: r[1] for r in rows() if r[0] is not None}, 4, 85)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (sizes[i], parts[i]) for i in sizes}
@@ -342,6 +343,31 @@ def test_jaccard(spark, docs, none, sf_dir, monkeypatch, wide):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({i for i, c in brute_components({r[0]: r[1] for r in rows() if r[0] is not None}, 5, 80)[1].items() if i == c})
 
 
+def test_rows_told_apart_by_id_and_text(spark):
+    """One id with two texts is two documents; copies with null ids are copies; repeated rows are one."""
+    from groundweave.llm.jaccard import drop_near_duplicates, jaccard_components
+
+    rows = [(1, BASE, 1), (1, "another text of this very id", 2), (2, BASE + " today", 3), (None, BASE, 4), (None, "a null id and its copy", 5), (None, "a null id and its copy", 6), (None, "a null id alone", 7), (3, "x y z", 8), (3, "x y z", 9), (4, "", 10), (None, None, 11), (None, "", 12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __rank int").repartition(3)
+    got = sorted(((r.doc_id, r.text, r["__rank"]) for r in drop_near_duplicates(table).collect()), key=lambda r: r[2])
+    assert [r[2] for r in got if r[2] not in (5, 6, 8, 9)] == [1, 2, 7, 10, 11, 12]
+    assert sum(r[2] in (5, 6) for r in got) == 1 and sum(r[2] in (8, 9) for r in got) == 1
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(table).collect()), key=str)
+    assert found == sorted([(1, 20, 1), (1, 3, 1), (2, 21, 1), (None, 20, 1), (None, 3, None), (None, 3, None), (None, 1, None), (3, 1, 3), (3, 1, 3), (4, 0, 4), (None, 0, None), (None, 0, None)], key=str)
+
+
+def test_parity_bits_bound_the_difference():
+    from groundweave.llm.jaccard import _apart, _folded, parity_bits
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 700)), dtype=np.uint64)]))
+        x, y = (np.frombuffer(parity_bits(v, np.array([0, len(v)]))[0], np.uint8).reshape(1, -1) if len(v) else np.zeros((1, 8), np.uint8) for v in (a, b))
+        low = min(x.shape[1], y.shape[1])
+        assert len(np.setxor1d(a, b)) >= _apart(_folded(x, low) ^ _folded(y, low))[0]
+
+
 def test_prefixes_lose_nothing():
     from groundweave.llm.jaccard import choose_matches
 
