@@ -539,7 +539,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         remove(spark, path)
 
     labelled = classes.select("node", "least").join(parts_of, "node", "left")
-    whole = labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("whole"))
+    # Stored, so that a component of very many nodes can be split in the join.
+    whole = stored(labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("whole")), shared_dir(spark, "whole"))
     labelled = labelled.join(whole, "component", "left").select("node", F.coalesce("whole", "least").alias("rep"))
     return every.select("doc_id", "mark", "n", node.alias("node")).join(labelled, "node", "left")
 
