@@ -3,7 +3,8 @@
 A text is cut before blanks and line ends. No pre-token of the two supported kinds of
 tokenizer crosses such a place, so the ids of the units, joined, are the ids of the text.
 A text in which white space stands before a blank or line end is encoded whole where runs
-of white space matter (byte-level), since there a cut could split a run.
+of white space matter (byte-level), since there a cut could split a run; so is a text that
+holds the string of an added token, which the tokenizer takes as that token.
 
 A unit of letters and then punctuation is in turn two pre-tokens: its letters are encoded
 with many others in one call and told apart by the ids that open or close a word.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -26,8 +28,8 @@ CACHE_UNITS = 200_000
 ROUND_CHARS = 8 << 20
 
 _RUN = re.compile(r"[\s\x1c-\x1f][ \n]")
-#: Letters up to Latin Extended-B, whose class is the same in every version of Unicode.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ƺ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Two-byte code points that may count as letters: up to Latin Extended-B, whose classes are the same in every version of Unicode.
+LATIN = range(0xC0, 0x250)
 _encoders: dict[str, Encoder] = {}
 
 
@@ -63,8 +65,16 @@ class _Cache:
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = self.tokenizer.normalizer is None  # ids depend on the white space before a word
+        normal = self.tokenizer.normalizer
+        self.spaced = normal is None  # ids depend on the white space before a word
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.any_added = re.compile("|".join(map(re.escape, self.added)) or "(?!)")
+        if any(t.normalized or t.lstrip or t.rstrip for t in added):
+            self.any_added = re.compile("")  # found in other forms than their own: every text is encoded whole
+        #: Letters that stay nothing but letters in the tokenizer's normal form.
+        self.letters = [c for c in LATIN if all(unicodedata.category(x)[0] == "L" for x in (chr(c) if normal is None else normal.normalize_str(chr(c))))]
+        self.plain = re.compile(f"([A-Za-z{''.join(map(chr, self.letters))}]+)([!-&(-/:-@\\[-`{{-~]*)")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -98,7 +108,9 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.spaced:
+            if self.any_added.search(text):
+                whole.append(i)
+            elif not self.spaced:
                 split.append(text.replace("\n", " ").split(" "))
                 at.append(i)
             elif _RUN.search(text):
@@ -134,7 +146,7 @@ class Encoder:
                 body, before = unit[1:], ""
             else:
                 body, before = unit, " " if self.spaced else ""
-            found = _PLAIN.fullmatch(body)
+            found = self.plain.fullmatch(body)
             if found:
                 parts.append((i, before + found[1], found[2], head))
             elif mark in ("\n", "\0") and not body:

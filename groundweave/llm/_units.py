@@ -1,7 +1,8 @@
 """The ids of whole documents by class runs, vectorised: what ``_bpe`` does unit by unit, without a Python object a word.
 
-It serves documents made of ASCII (but the apostrophe) and two-byte letters, with single
-blanks or line ends between other signs; the rest go the plainer way of ``_bpe``. There
+It serves documents made of ASCII (but the apostrophe) and two-byte letters that the
+tokenizer's normal form leaves letters, with single blanks or line ends between other signs
+and no added token's string; the rest go the plainer way of ``_bpe``. There
 every run of letters, of digits or of other signs, with the blank before it where blanks
 count, is encoded alike wherever it stands. Each distinct run is encoded once while the
 cache keeps it: a sorted array of 64-bit hashes, checked by length and outer bytes,
@@ -24,7 +25,7 @@ _KIND[33:127] = _SIGN
 _KIND[48:58] = _DIGIT
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[0x20], _KIND[0x0A], _KIND[0x27] = _BLANK, _LINE, _ODD
-_KIND[0xC3:0xCA] = _LETTER  # leads of U+00C0 to U+027F
+_KIND[0xC3:0xCA] = _LETTER  # leads of U+00C0 to U+027F; which of those count is the encoder's to say
 _KIND[0x80:0xC0] = _LETTER  # what follows a lead
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -34,6 +35,8 @@ class Runs:
     def __init__(self, owner):
         """``owner``: the ``_bpe.Encoder`` that encodes new runs and odd documents."""
         self.owner = owner
+        self.odd = np.ones(0x280, dtype=bool)
+        self.odd[owner.letters] = False
         self.clear()
 
     def clear(self) -> None:
@@ -60,9 +63,18 @@ class Runs:
         white = (kind == _BLANK) | (kind == _LINE)
         bad = kind == _ODD
         bad[1:] |= white[1:] & white[:-1]
-        # U+00D7 and U+00F7 are no letters, nor is all above U+024F known here; a lone follower belongs to U+0080 to U+00BF.
-        lead = data[:-1]
-        bad[1:] |= ((lead == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))) | ((lead == 0xC9) & (data[1:] > 0x8F))
+        # A lone follower belongs to U+0080 to U+00BF, whose lead is odd.
+        lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+        bad[lead] |= self.odd[((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)]
+        if self.owner.any_added.pattern:
+            text = data.tobytes()
+            for token in map(str.encode, self.owner.added):
+                at = text.find(token)
+                while at >= 0:
+                    bad[at] = True
+                    at = text.find(token, at + 1)
+        else:
+            bad[:] = True
         ends = off[1:][off[1:] > off[:-1]] - 1
         begins = off[:-1][off[1:] > off[:-1]]
         bad[begins] |= white[begins]

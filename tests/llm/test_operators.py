@@ -38,10 +38,33 @@ def none(spark):
 
 def ids_of(path, text, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_are_the_librarys(path):
+    """Every code point below U+0600 beside other sorts of signs, added tokens' strings, and random texts."""
+    import pyarrow as pa
+
+    from groundweave.llm._bpe import Encoder
+    from groundweave.llm._units import encode_array
+
+    rng = np.random.default_rng(3)
+    points = [chr(c) for c in range(1, 0x600)]
+    sides = ["a", "É", "7", "?", " ", "'", "\n", "a'", "a ", "'s", "<|", "|>"]
+    texts = [x for p in points for s in sides for x in (s + p, p + s, f"x {s}{p}{s} y")]
+    tokens = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    texts += [x for t in tokens for x in (t, t * 2, f"a {t} b", f"a{t}b", f"é? {t.upper()} {t[:-1]}", f"{t}\n{t}", f" {t} ", f"it's {t}")]
+    signs = [*"aaabcdeXYZ éÀİıǅʼ012..,;!?<|>'\"  \n\n\t", "\u0307", "\u0301", "ﬁ", "한", "𝒜", "\u00a0", "\u2028", "'ll", " the", " word", "<|endoftext|>"]
+    texts += ["".join(rng.choice(signs, int(rng.integers(0, 30)))) for _ in range(20_000)]
+    want = [np.array([*e.ids, 5], "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    got = encode_array(Encoder(path), pa.array(texts), 5)
+    assert [t for t, x, y in zip(texts, want, got, strict=True) if x != y] == []
+    joined = [" ".join(texts[a : a + 40]) for a in range(0, len(texts), 40)]
+    want = [np.array([*e.ids, 5], "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(joined, add_special_tokens=False)]
+    assert encode_array(Encoder(path), pa.array(joined), 5) == want
+
+
 def test_packing(docs, none):
     from groundweave.llm.packing import pack_documents
 
