@@ -6,6 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrivals that op4_compaction's rows come in.
+ARRIVALS = 8
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,16 +37,23 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents`` as the compacted table's last manifest holds it, its text as a digest."""
+    """Every row of ``documents`` as the compacted table's last manifest holds it, its text as a digest.
+
+    The rows come in ``ARRIVALS`` arrivals. ``merged`` tells whether a merge made the row's shard;
+    ``tiers_due``, of the last manifest, how many tiers hold shards enough for another one.
+    """
     from pyspark.sql import functions as F
 
     from ._common import shared_dir
     from .compaction import ShardTable
 
     table = ShardTable(spark, shared_dir(spark, "shards"))
-    table.append(_table(spark, sf_dir, "documents"))
-    table.compact(force=True)
-    return table.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    docs = _table(spark, sf_dir, "documents")
+    table.append_arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    for _ in table.merges():
+        table.vacuum(keep=1, least_age=0)  # nobody else uses this table
+    due = len(table.plan(table.manifest()["shards"]))
+    return table.read_merges().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), (F.col("merges") > 0).alias("merged"), F.lit(due).cast("long").alias("tiers_due"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"}
+    return {"op4_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, true AS merged, CAST(0 AS BIGINT) AS tiers_due FROM documents"}

@@ -249,6 +249,51 @@ def test_compaction(spark, docs, none):
     blank.append(none)
     blank.compact(force=True)
     assert blank.read().count() == 0
+    blank.append_arrivals(none, none.n)
+    assert blank.read_merges().count() == 0
+
+
+def test_compaction_loses_nothing_to_others(spark, docs):
+    """Appends, merges and vacuums interleave with open readers and writers that haven't committed."""
+    from pyspark.sql import functions as F
+
+    from groundweave.llm._common import shared_dir
+    from groundweave.llm.compaction import ShardTable
+
+    path = shared_dir(spark, "c")
+    table, other = (ShardTable(spark, path, small_bytes=1 << 10, target_bytes=1 << 20) for _ in range(2))
+    n = docs.count()
+    table.append_arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    first = table.manifest()
+    assert first["version"] >= 4 and table.read().count() == n
+    reader, written = table.read(), other._write(docs)  # another writer's shards, not committed yet
+    plain, merge = ShardTable._change, table.merges()
+    once = []
+
+    def raced(self, schema, gone, made):  # the other writer commits between this one's reading and its commit
+        if not once:
+            once.append(plain(other, schema, set(), written))
+        return plain(self, schema, gone, made)
+
+    table._change = raced.__get__(table)
+    made = next(merge)
+    table.vacuum()
+    assert len(made["shards"]) < len(first["shards"]) + len(written) and table.read().count() == 2 * n
+    assert reader.count() == n and table.read(first["version"]).count() == n
+    # Two merges of the same shards: the second one is given up, no row is doubled.
+    run = table.plan(table.manifest()["shards"], True)[0]
+    gone, schema = {s["path"] for s in run}, first["schema"]
+    both = spark.read.schema(docs.schema).parquet(*gone)
+    assert plain(table, schema, gone, table._write(both)) and plain(other, schema, gone, other._write(both)) is None
+    assert other.read().count() == 2 * n
+    for _ in table.merges(force=True):
+        pass
+    late = other._write(docs)
+    table.vacuum(keep=1)  # all is young
+    assert table.read(first["version"]).count() == n and plain(other, schema, set(), late) and table.read().count() == 3 * n
+    table.vacuum(keep=1, least_age=-5)
+    assert table.versions() == [table.manifest()["version"]] and table.read().count() == 3 * n
+    assert table.read_merges().where("merges > 0").count() == 2 * n
 
 
 def test_ann(spark):
