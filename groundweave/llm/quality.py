@@ -6,12 +6,12 @@ case of a word, the signs themselves); a feature's value is its share of the doc
 n-grams of that sort times ``SCALE``. A score is the logistic function of the bias plus
 the sparse dot product of values and weights.
 
-Training takes at most ``train_rows`` labelled rows, those of least hash, and goes over
-them ``epochs`` times in a fixed order; their features are computed on the executors.
-Scoring is a map over whole texts with a table of 2^``BITS`` weights.
+Training takes at most ``train_rows`` labelled ids, those of least hash, with one text and
+one label each (of several texts that of least hash, of both labels 0), and goes over them
+``epochs`` times in a fixed order, in one task; the driver gets the weights alone. Scoring is a map over whole texts with a table of 2^``BITS`` weights.
 
 Null or empty texts have no features and get the bias' score; a null doc_id stays null;
-repeated rows get equal scores; rows with a null label aren't learned from; with no
+repeated rows get equal scores and are learned from once; rows with a null label aren't learned from; with no
 labelled rows every score is 0.5. Columns other than those named are ignored by
 ``score_quality`` and kept by ``keep_quality``.
 """
@@ -109,8 +109,8 @@ def held_out(id_col):
 def train_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights learned from at most ``train_rows`` labelled rows that aren't held out."""
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
+    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
     def run(batches):
         for batch in batches:
@@ -130,13 +130,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 8000,
 
     # The chosen ids are at most train_rows: a bounded table, read once for their texts.
     picked = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    got = sorted(picked.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features binary, values binary").collect())
-    bias = 1 << BITS
-    rows = []
-    for r in got:
-        index = np.append(np.frombuffer(r.features, "<u4").astype(np.int64), bias)
-        rows.append((index, np.append(np.frombuffer(r["values"], "<f4"), np.float32(1)).astype(np.float64), r.label))
-    return train_ftrl(rows)
+    picked = picked.groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.min("label").alias("label"))
+    made = picked.mapInArrow(run, "doc_id long, label int, features binary, values binary")
+
+    def learn(batches):
+        got = sorted(zip(*(sum((b.column(c).to_pylist() for b in held), []) for c in range(4)), strict=True)) if (held := list(batches)) else []
+        rows = []
+        for _, label, index, value in got:
+            index = np.append(np.frombuffer(index, "<u4").astype(np.int64), 1 << BITS)
+            rows.append((index, np.append(np.frombuffer(value, "<f4"), np.float32(1)).astype(np.float64), label))
+        yield pa.RecordBatch.from_arrays([pa.array([train_ftrl(rows).tobytes()], pa.binary())], ["weights"])
+        trim()
+
+    return np.frombuffer(made.repartition(1).mapInArrow(learn, "weights binary").first().weights, np.float32)
 
 
 def _scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:

@@ -382,6 +382,76 @@ def test_quality(spark, docs, none, sf_dir):
     assert keep_quality(none, weights).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_features(text):
+    """{feature: value} by loops over tokens, as the operator's text defines them."""
+    tokens = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|\n+|[^A-Za-z0-9\x80-\xff\s]+", re.sub(rb"[\t\x0b-\r]", b" ", (text or "").encode()))
+    base, plain, shapes = 0x9E3779B97F4A7C15, [], []
+    for t in tokens:
+        h = plain_mix(sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(bytes(x + 32 if 65 <= x <= 90 else x for x in t))) & M64)
+        upper = sum(65 <= c <= 90 for c in t)
+        letters = re.match(rb"[A-Za-z\x80-\xff]", t)
+        case = 1 if upper == 0 else 2 if upper == 1 and 65 <= t[0] <= 90 else 3 if 2 * upper >= len(t) else 4
+        plain.append(h)
+        shapes.append(plain_mix(case) if letters else 77 if t[:1].isdigit() else h)
+    out = {}
+    for salt, source, k in ((1, plain, 1), (2, plain, 2), (3, shapes, 3)):
+        grams = []
+        for i in range(len(source) - k + 1):
+            total = source[i]
+            for x in source[i + 1 : i + k]:
+                total = (total * 0xD6E8FEB86659FD93 + x) & M64
+            grams.append(plain_mix((plain_mix(total) + salt) & M64) >> 46)
+        for g in grams:
+            out[g] = out.get(g, 0.0) + 16 / len(grams)
+    return out
+
+
+def plain_ftrl(rows, epochs=4, alpha=0.5, beta=1.0, l1=0.02, l2=1.0):
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((beta + ni**0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            values, label = rows[r]
+            ws = {i: weight(i) for i in values}
+            p = 1 / (1 + np.exp(-sum(ws[i] * v for i, v in values.items())))
+            for i, v in values.items():
+                g = (p - label) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * ws[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return weight
+
+
+def test_quality_by_plain_loops(spark):
+    """Features, training and scores against loops; ids that repeat and contradictory labels included."""
+    from groundweave.llm.quality import score_quality, train_quality
+
+    rng = np.random.default_rng(4)
+    words = ["The", "cat", "SAT", "on", "a1b", "42", "iPhone", "élan", "!!", "\n", "ok.", "x=y", "\t", "McX"]
+    texts = {i: " ".join(rng.choice(words, int(rng.integers(1, 30)))) for i in range(1, 60)} | {60: "", 61: None, 62: "one", 63: "\n"}
+    labels = [(i, int(i % 3 == 0)) for i in texts] + [(3, 0), (5, None), (None, 1), (7, 9), (999, 1)]
+    table = spark.createDataFrame([*texts.items(), (9, texts[9]), (9, texts[9])], "doc_id long, text string").repartition(3)
+    learned = {i: int(i % 3 == 0 and i != 3) for i in texts if zlib.crc32(str(i).encode()) % 5}
+    weight = plain_ftrl([({**plain_features(texts[i]), "bias": 1.0}, y) for i, y in sorted(learned.items())])
+    weights = train_quality(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    for i, r in {r.doc_id: r for r in score_quality(table, weights).collect()}.items():
+        want = 1 / (1 + np.exp(-sum(weight(f) * v for f, v in {**plain_features(texts[i]), "bias": 1.0}.items())))
+        assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.3)
+
+
 def test_secrets(docs, none):
     from groundweave.llm.secret_scan import _automaton, base62_crc, digest, find_spans, redact_secrets, scan_secrets
 
