@@ -133,10 +133,12 @@ def cell_at(x: Column, y: Column, res: Column) -> Column:
 def _around(cell, k, hollow: bool, res=None) -> Column:
     x, y, edge, r = parts(cell)
     k = col(k).cast("long")
-    steps = F.sequence(-k, k)
     named = (lambda px, py: eastnorthasbng(px, py, res)) if res is not None else (lambda px, py: cell_at(px, py, r))
     inside = lambda px, py: (px >= 0) & (py >= 0) & (px < EAST_LIMIT) & (py < NORTH_LIMIT)
-    points = F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda i: F.struct((x + i * edge).alias("x"), (y + j * edge).alias("y"), F.greatest(F.abs(i), F.abs(j)).alias("d")))))
+    # One lambda over a block of steps: Spark can't hand nested ones to a Python function above.
+    block = F.array_repeat(F.struct(x.alias("x"), y.alias("y"), edge.alias("edge"), k.alias("k"), (2 * k + 1).alias("side")), ((2 * k + 1) * (2 * k + 1)).cast("int"))
+    column, row = (lambda t, i: i % t["side"] - t["k"]), (lambda t, i: F.floor(i / t["side"]) - t["k"])
+    points = F.transform(block, lambda t, i: F.struct((t["x"] + column(t, i) * t["edge"]).alias("x"), (t["y"] + row(t, i) * t["edge"]).alias("y"), F.greatest(F.abs(column(t, i)), F.abs(row(t, i))).alias("d")))
     kept = F.filter(points, lambda p: inside(p["x"], p["y"]) & (p["d"] == k if hollow else F.lit(True)))
     return F.transform(kept, lambda p: named(p["x"], p["y"]))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,47 +28,104 @@ def _grid_cells(g: geometry.Geometry, x0, y0, w, h, columns, rows):
     bounds = g.bounds()
     if bounds is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    index = lambda v, low, size, n: int(min(max(np.floor((v - low) / size), 0), n - 1))
-    i0, i1 = index(bounds[0], x0, w, columns), index(bounds[2], x0, w, columns)
-    j0, j1 = index(bounds[1], y0, h, rows), index(bounds[3], y0, h, rows)
-    if (i1 - i0 + 1) * (j1 - j0 + 1) > MAX_CELLS:
+    _, i, j = _block_cells(np.array([bounds]), x0, y0, w, h, columns, rows)
+    return i, j
+
+
+def _block_cells(bounds: np.ndarray, x0, y0, w, h, columns, rows):
+    """(row of ``bounds``, i, j) of the cells that each row touches, row by row."""
+    index = lambda v, low, size, n: np.clip(np.floor((v - low) / size), 0, n - 1).astype(np.int64)
+    i0, i1 = index(bounds[:, 0], x0, w, columns), index(bounds[:, 2], x0, w, columns)
+    j0, j1 = index(bounds[:, 1], y0, h, rows), index(bounds[:, 3], y0, h, rows)
+    across, size = i1 - i0 + 1, (i1 - i0 + 1) * (j1 - j0 + 1)
+    if (size > MAX_CELLS).any():
         raise ValueError("too many cells")
-    j, i = np.meshgrid(np.arange(j0, j1 + 1), np.arange(i0, i1 + 1), indexing="ij")
-    return i.ravel(), j.ravel()
+    owner = np.repeat(np.arange(len(bounds)), size)
+    at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    return owner, i0[owner] + at % across[owner], j0[owner] + at // across[owner]
+
 
+#: Corners of cell and ring pairs that are clipped at once.
+_AT_ONCE = 1 << 20
 
-def _chips(g: geometry.Geometry, i, j, x0, y0, w, h, keep_core: bool) -> list[dict]:
+
+def _chips(g: geometry.Geometry, i, j, x0, y0, w, h, keep_core: bool):
+    """(x, y, core, chip) of the cells that hold something of the geometry."""
     left, low = x0 + i * w, y0 + j * h
     core = geometry.covers_boxes(g, left, low, left + w, low + h) if g.kind in (3, 6) else np.zeros(len(i), dtype=bool)
-    out = []
+    chips: list[bytes | None] = []
+    some = []
     for k in range(len(i)):
         b = (left[k], low[k], left[k] + w, low[k] + h)
         if core[k]:
-            out.append({"x": int(i[k]), "y": int(j[k]), "core": True, "chip": geometry.to_wkb(geometry.box(*b)) if keep_core else None})
+            chips.append(geometry.to_wkb(geometry.box(*b)) if keep_core else None)
         elif (chip := geometry.clip_box(g, *b)) is not None:
-            out.append({"x": int(i[k]), "y": int(j[k]), "core": False, "chip": geometry.to_wkb(chip)})
-    return out
+            chips.append(geometry.to_wkb(chip))
+        else:
+            continue
+        some.append(k)
+    return i[some], j[some], core[some], chips
+
+
+def _ring_chips(rings: np.ndarray, grid: tuple, keep_core: bool):
+    """(ring, x, y, core, chip) for polygons of one ring of equal size (closed), all their cells together."""
+    x0, y0, w, h, columns, rows = grid
+    owner, i, j = _block_cells(np.concatenate([rings.min(axis=1), rings.max(axis=1)], axis=1), *grid)
+    left, low = x0 + i * w, y0 + j * h
+    boxes = np.stack([left, low, left + w, low + h], axis=1).astype(float)
+    closed, count, size = geometry.clip_rings(rings[owner, :-1], boxes)
+    core = size >= w * h * (1 - 1e-12)
+    some = np.flatnonzero(core | (size > 1e-12 * w * h))
+    chips = [(geometry.to_wkb(geometry.box(*boxes[k].tolist())) if keep_core else None) if core[k] else geometry.ring_wkb(closed[k, : count[k] + 1]) for k in some.tolist()]
+    return owner[some], i[some], j[some], core[some], chips
+
+
+def _all_chips(shapes: list, grid: tuple, keep_core: bool):
+    """(row, x, y, core, chip) of all geometries' cells, in the order of rows."""
+    found, single = [], {}
+    for k, g in enumerate(shapes):
+        if g is not None and g.kind == geometry.POLYGON and len(g.parts) == 1 and len(g.parts[0]) == 1 and len(g.parts[0][0]) > 3:
+            single.setdefault(len(g.parts[0][0]), []).append(k)
+        elif g is not None:
+            x0, y0, w, h = grid[:4]
+            i, j, core, chips = _chips(g, *_grid_cells(g, *grid), x0, y0, w, h, keep_core)
+            found.append((np.full(len(i), k), i, j, core, chips))
+    for size, at in single.items():
+        rings = np.stack([shapes[k].parts[0][0][:, :2] for k in at])
+        step = np.ptp(rings, axis=1) // np.array(grid[2:4]) + 2
+        weight = np.cumsum(step.prod(axis=1) * size)
+        cuts = np.searchsorted(weight, np.arange(0, weight[-1], _AT_ONCE)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            if b > a:
+                owner, *rest = _ring_chips(rings[a:b], grid, keep_core)
+                found.append((np.array(at)[a:b][owner], *rest))
+    joined = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(4)]
+    order = np.argsort(joined[0], kind="stable")
+    chips = [c for f in found for c in f[4]]
+    return *(c[order] for c in joined), [chips[k] for k in order.tolist()]
 
 
 def _bng_cells(res: int, chips: bool, keep_core: bool):
     edge = bng.edge_of(res)
-    columns, rows = -(-bng.EAST_LIMIT // edge), -(-bng.NORTH_LIMIT // edge)
-
-    @F.pandas_udf(_CHIPS)
-    def found(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            g = geometry.parse(v)
-            if g is None:
-                out.append([])
-                continue
-            i, j = _grid_cells(g, 0, 0, edge, edge, columns, rows)
-            if chips:
-                out.append(_chips(g, i, j, 0, 0, edge, edge, keep_core))
-            else:
-                inside = geometry.contains(g, (i + 0.5) * edge, (j + 0.5) * edge)
-                out.append([{"x": int(a), "y": int(b), "core": False, "chip": None} for a, b in zip(i[inside], j[inside], strict=True)])
-        return pd.Series(out)
+    grid = (0, 0, edge, edge, -(-bng.EAST_LIMIT // edge), -(-bng.NORTH_LIMIT // edge))
+
+    @F.arrow_udf(_CHIPS)
+    def found(values: pa.Array) -> pa.Array:
+        shapes = [geometry.parse(v) for v in values.to_pylist()]
+        if chips:
+            row, x, y, core, parts = _all_chips(shapes, grid, keep_core)
+        else:
+            inside = []
+            for k, g in enumerate(shapes):
+                if g is not None:
+                    i, j = _grid_cells(g, *grid)
+                    at = geometry.contains(g, (i + 0.5) * edge, (j + 0.5) * edge)
+                    inside.append((np.full(int(at.sum()), k), i[at], j[at]))
+            row, x, y = (np.concatenate([f[c] for f in inside]) if inside else np.zeros(0, np.int64) for c in range(3))
+            core, parts = np.zeros(len(row), dtype=bool), [None] * len(row)
+        made = pa.StructArray.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(core.astype(bool)), pa.array(parts, pa.binary())], ["x", "y", "core", "chip"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row.astype(np.int64), minlength=len(shapes)))])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), made)
 
     return found, edge
 
@@ -110,7 +168,7 @@ def bounds_of(values: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.DoubleType())
 def area_of(values: pd.Series) -> pd.Series:
     """Area of each geometry in the units of its coordinates."""
-    return pd.Series([None if v is None else geometry.area(geometry.parse(v)) for v in values], dtype=float)
+    return pd.Series(geometry.areas([None if v is None else bytes(v) for v in values]))
 
 
 def bng_pointascell(geom, res) -> Column:
@@ -130,9 +188,9 @@ def bng_geomkloop(geom, res, k: int) -> Column:
     return F.array_except(bng_geomkring(geom, res, k), bng_geomkring(geom, res, k - 1))
 
 
-def bng_explode(cells: Column) -> Column:
-    """A row for each cell of an array."""
-    return F.explode(cells)
+def bng_tessellateexplode(geom, res, keep_core_geom: bool = False) -> Column:
+    """A row (cellid, core, chip) for each cell of ``bng_tessellate``."""
+    return F.inline(bng_tessellate(geom, res, keep_core_geom))
 
 
 def _binary(operation):
@@ -297,14 +355,28 @@ def quadbin_tessellate(geom, res) -> Column:
 
 
 def _quadbin_union(cells) -> bytes | None:
-    boxes = []
-    for c in set(int(c) for c in cells if c is not None):
-        z = c >> 52 & 31
-        x = sum(((c >> (2 * k)) & 1) << k for k in range(26)) >> (26 - z)
-        y = sum(((c >> (2 * k + 1)) & 1) << k for k in range(26)) >> (26 - z)
-        lat = lambda v: float(np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * v / 2**z)))))  # noqa: E731, B023
-        boxes.append(geometry.box(x / 2**z * 360 - 180, lat(y + 1), (x + 1) / 2**z * 360 - 180, lat(y), 4326))
-    return geometry.to_wkb(geometry.union(boxes), srid=True) if boxes else None
+    c = np.unique(np.array([x for x in cells if x is not None], np.int64))
+    if not len(c):
+        return None
+    z = c >> 52 & 31
+    x, y = (sum(((c >> (2 * k + odd)) & 1) << k for k in range(26)) >> (26 - z) for odd in (0, 1))
+    # Runs of cells along a row, and equal runs of rows that follow each other, are one box.
+    order = np.lexsort((x, y, z))
+    z, x, y = z[order], x[order], y[order]
+    new = np.ones(len(z), dtype=bool)
+    new[1:] = (z[1:] != z[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    first = np.flatnonzero(new)
+    z, x0, x1, y = z[first], x[first], x[np.append(first[1:], len(x)) - 1] + 1, y[first]
+    order = np.lexsort((y, x1, x0, z))
+    z, x0, x1, y = z[order], x0[order], x1[order], y[order]
+    new = np.ones(len(z), dtype=bool)
+    new[1:] = (z[1:] != z[:-1]) | (x0[1:] != x0[:-1]) | (x1[1:] != x1[:-1]) | (y[1:] != y[:-1] + 1)
+    first = np.flatnonzero(new)
+    n = 2.0 ** z[first]
+    lat = lambda v: np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * v / n))))
+    corners = (x0[first] / n * 360 - 180, lat(y[np.append(first[1:], len(y)) - 1] + 1), x1[first] / n * 360 - 180, lat(y[first]))
+    boxes = [geometry.box(*b, 4326) for b in zip(*(v.tolist() for v in corners), strict=True)]
+    return geometry.to_wkb(boxes[0] if len(boxes) == 1 else geometry.union(boxes), srid=True)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -86,8 +86,14 @@ def kring(cell, grid_col, k) -> Column:
     res, x, y, columns, _, _ = parts(cell, grid_col)
     rows = _size(g, res)[3]
     low = lambda v: F.greatest(F.lit(0).cast("long"), v - k)
-    ys = F.sequence(low(y), F.least(rows, y + k))
-    return F.flatten(F.transform(ys, lambda r: F.transform(F.sequence(low(x), F.least(columns, x + k)), lambda c: _id(res, r * columns + c))))
+    return _block(res, columns, low(x), F.least(columns, x + k), low(y), F.least(rows, y + k))
+
+
+def _block(res: Column, columns: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The cells of a block of positions, row by row, by one lambda: Spark can't hand nested ones to a Python function above."""
+    corner = F.struct(res.alias("res"), columns.alias("columns"), x0.alias("x"), y0.alias("y"), (x1 - x0 + 1).alias("n"))
+    block = F.array_repeat(corner, ((x1 - x0 + 1) * (y1 - y0 + 1)).cast("int"))
+    return F.transform(block, lambda t, i: _id(t["res"], (t["y"] + F.floor(i / t["n"])) * t["columns"] + t["x"] + i % t["n"]))
 
 
 def box_cells(xmin, ymin, xmax, ymax, grid_col, res) -> Column:
@@ -95,6 +101,5 @@ def box_cells(xmin, ymin, xmax, ymax, grid_col, res) -> Column:
     g, res = col(grid_col), col(res).cast("int")
     w, h, columns, rows = _size(g, res)
     index = lambda v, low, size, n: F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor((v - g[low]) / size).cast("long")))
-    xs = F.sequence(index(col(xmin), "bound_x_min", w, columns), index(col(xmax), "bound_x_min", w, columns))
-    ys = F.sequence(index(col(ymin), "bound_y_min", h, rows), index(col(ymax), "bound_y_min", h, rows))
-    return F.flatten(F.transform(ys, lambda r: F.transform(xs, lambda c: _id(res, r * columns + c))))
+    across = [index(col(v), "bound_x_min", w, columns) for v in (xmin, xmax)]
+    return _block(res, columns, *across, *(index(col(v), "bound_y_min", h, rows) for v in (ymin, ymax)))

@@ -191,6 +191,66 @@ def clip_ring(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: flo
     return np.array([*kept, kept[0]]) if len(kept) > 2 else np.zeros((0, 2))
 
 
+def clip_rings(points: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Open rings of equal size, each cut to its rectangle (xmin, ymin, xmax, ymax), all of them a side at a time.
+
+    (points, counts, areas): row k holds the counts[k] corners of what is left in box k, closed by its first.
+    """
+    count = np.full(len(boxes), points.shape[1])
+    for axis, side, sign in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
+        limit = boxes[:, side, None]
+        at = np.arange(points.shape[1])
+        there = at < count[:, None]
+        before = np.take_along_axis(points, np.where(at == 0, count[:, None] - 1, at - 1)[:, :, None], axis=1) if points.shape[1] else points
+        da, db = sign * (before[:, :, axis] - limit), sign * (points[:, :, axis] - limit)
+        crosses = there & ((da < 0) != (db < 0)) & (da != db)
+        t = np.divide(da, da - db, out=np.zeros_like(da), where=crosses)
+        cut = before + t[:, :, None] * (points - before)
+        cut[:, :, axis] = limit
+        points, count = _packed(np.stack([cut, points], axis=2).reshape(len(boxes), -1, 2), np.stack([crosses, there & (db >= 0)], axis=2).reshape(len(boxes), -1))
+    at = np.arange(points.shape[1])
+    before = np.take_along_axis(points, np.where(at == 0, np.maximum(count, 1)[:, None] - 1, at - 1)[:, :, None], axis=1) if points.shape[1] else points
+    points, count = _packed(points, (at < count[:, None]) & (points != before).any(axis=2))
+    count = np.where(count > 2, count, 0)
+    if not points.shape[1]:
+        return np.zeros((len(boxes), 1, 2)), count, np.zeros(len(boxes))
+    closed = np.concatenate([points, points[:, :1]], axis=1)
+    closed[np.arange(len(boxes)), count] = closed[:, 0]
+    x, y = closed[:, :, 0] - closed[:, :1, 0], closed[:, :, 1] - closed[:, :1, 1]
+    cross = np.where(np.arange(points.shape[1]) < count[:, None], x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1], 0.0)
+    return closed, count, np.abs(cross.sum(axis=1)) / 2
+
+
+def _packed(points: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's kept points, moved to its front, and their number."""
+    count = kept.sum(axis=1)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, : int(count.max(initial=0))]
+    return np.take_along_axis(points, order[:, :, None], axis=1), count
+
+
+def ring_wkb(closed: np.ndarray) -> bytes:
+    """A polygon of one ring."""
+    return struct.pack("<BIII", 1, POLYGON, 1, len(closed)) + closed.tobytes()
+
+
+def areas(values: list[bytes | None]) -> np.ndarray:
+    """Area of each WKB, NaN for null; little-endian polygons of one ring and equal size are taken together."""
+    out = np.full(len(values), np.nan)
+    groups: dict[int, list[int]] = {}
+    for k, v in enumerate(values):
+        if v is None:
+            continue
+        if v[:9] == b"\x01\x03\x00\x00\x00\x01\x00\x00\x00" and len(v) > 13:
+            groups.setdefault(len(v), []).append(k)
+        else:
+            out[k] = area(parse(v))
+    for size, at in groups.items():
+        ring = np.frombuffer(b"".join([values[k][13:] for k in at]), "<f8").reshape(len(at), (size - 13) // 16, 2)
+        x, y = ring[:, :, 0] - ring[:, :1, 0], ring[:, :, 1] - ring[:, :1, 1]
+        out[at] = np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1)) / 2
+    return out
+
+
 def clip_box(g: Geometry, xmin: float, ymin: float, xmax: float, ymax: float) -> Geometry | None:
     """A polygon's, line's or point's part in a rectangle; None if it has no area (length, point) there."""
     if g.kind in (POLYGON, MULTIPOLYGON):

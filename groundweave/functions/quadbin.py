@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .wkb import box_wkb, col, let, point_wkb
+from .wkb import box_wkb, col, point_wkb
 
 MAX_RESOLUTION, MAX_POLYFILL_RESOLUTION, MAX_CELLS = 26, 20, 1_000_000
 MAX_LATITUDE = 85.05112878
@@ -108,7 +108,10 @@ def distance(cell_a, cell_b) -> Column:
 
 
 def _cells(z: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    return let(F.struct(z.alias("z"), F.sequence(x0, x1).alias("xs"), F.sequence(y0, y1).alias("ys")), lambda t: F.flatten(F.transform(t["ys"], lambda y: F.transform(t["xs"], lambda x: from_tile(t["z"], x, y)))))
+    """The cells of a block of tiles, row by row. One lambda: Spark can't hand nested ones to a Python function above."""
+    size = ((x1 - x0 + 1) * (y1 - y0 + 1)).cast("int")
+    block = F.array_repeat(F.struct(z.alias("z"), x0.alias("x"), y0.alias("y"), (x1 - x0 + 1).alias("n")), size)
+    return F.transform(block, lambda t, i: from_tile(t["z"], t["x"] + i % t["n"], t["y"] + F.floor(i / t["n"])))
 
 
 def kring(cell, k) -> Column:

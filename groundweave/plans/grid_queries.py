@@ -74,17 +74,17 @@ def quadbin_polyfill(spark, sf_dir):
 
 
 def quadbin_tessellate(spark, sf_dir):
-    chips = points(spark, sf_dir).where("abs(lat) < 80 and abs(lon) < 170").select("event_id", F.inline(cells.quadbin_tessellate(_square("lon", "lat", 1.5), F.lit(6))))
+    chips = points(spark, sf_dir).select("event_id", F.inline(cells.quadbin_tessellate(_square("lon", "lat", 1.5), F.lit(6))))
     return chips.groupBy("event_id").agg(F.round(F.sum(cells.area_of("geom")), 6).alias("area"))
 
 
 def quadbin_cellunion(spark, sf_dir):
-    ring = points(spark, sf_dir).where("abs(lat) < 60 and abs(lon) < 150").select("event_id", cells.quadbin_cellunion(quadbin.kring(quadbin.pointascell("lon", "lat", F.lit(7)), F.lit(1))).alias("g"))
+    ring = points(spark, sf_dir).select("event_id", cells.quadbin_cellunion(quadbin.kring(quadbin.pointascell("lon", "lat", F.lit(7)), F.lit(1))).alias("g"))
     return ring.select("event_id", F.round(cells.area_of("g"), 5).alias("area"))
 
 
 def quadbin_cellunion_agg(spark, sf_dir):
-    found = _with_cells(spark, sf_dir, 6).where("abs(lat) < 60 and abs(lon) < 150").withColumn("k", F.col("event_id") % 97).groupBy("k").agg(cells.quadbin_cellunion_agg("cell").alias("g"))
+    found = _with_cells(spark, sf_dir, 6).withColumn("k", F.col("event_id") % 97).groupBy("k").agg(cells.quadbin_cellunion_agg("cell").alias("g"))
     return found.select("k", F.round(cells.area_of("g"), 4).alias("area"))
 
 
@@ -200,7 +200,8 @@ def bng_polyfill(spark, sf_dir):
 
 
 def _tessellated(spark, sf_dir, size=2500, keep=False):
-    return national(spark, sf_dir).where("e < 690000 and n < 1290000").select("id", F.inline(cells.bng_tessellate(_square("e", "n", size), "1km", keep)))
+    # By id, as the sums after it are: one exchange, and polygons spread over the cores however few files hold them.
+    return national(spark, sf_dir).repartition("id").select("id", F.inline(cells.bng_tessellate(_square("e", "n", size), "1km", keep)))
 
 
 def bng_tessellate(spark, sf_dir):
@@ -208,15 +209,15 @@ def bng_tessellate(spark, sf_dir):
 
 
 def bng_geomkring(spark, sf_dir):
-    return national(spark, sf_dir).where("e < 600000 and n < 1200000").select("id", F.explode(cells.bng_geomkring(_square("e", "n", 1500), "1km", F.lit(1))).alias("cell"))
+    return national(spark, sf_dir).select("id", F.explode(cells.bng_geomkring(_square("e", "n", 1500), "1km", F.lit(1))).alias("cell"))
 
 
 def bng_geomkloop(spark, sf_dir):
-    return national(spark, sf_dir).where("e between 10000 and 600000 and n between 10000 and 1200000").select("id", F.explode(cells.bng_geomkloop(_square("e", "n", 1500), "1km", 1)).alias("cell"))
+    return national(spark, sf_dir).select("id", F.explode(cells.bng_geomkloop(_square("e", "n", 1500), "1km", 1)).alias("cell"))
 
 
 def _chip_pairs(spark, sf_dir):
-    inner = national(spark, sf_dir).where("e < 690000 and n < 1290000")
+    inner = national(spark, sf_dir).repartition("id")
     pair = inner.select("id", "e", "n", F.inline(cells.bng_tessellate(_square("e", "n", 700), "1km"))).select("id", F.struct("cellid", "core", "chip").alias("a"))
     other = inner.select("id", "e", "n", F.inline(cells.bng_tessellate(_square("e", "n", 400), "1km"))).select("id", F.struct("cellid", "core", "chip").alias("b"))
     return pair.join(other, (pair["id"] == other["id"]) & (F.col("a.cellid") == F.col("b.cellid"))).select(pair["id"], "a", "b")
@@ -245,11 +246,27 @@ def bng_cellunion_agg(spark, sf_dir):
 
 
 def spatial_join(spark, sf_dir):
-    """Points in 5 km squares around every 50th order, by cell equi-join and refinement."""
+    """Points in a 5 km square at every order, by cell equi-join and refinement."""
     from ..operators.spatial_join import points_in_polygons
 
-    zones = national(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("zone_id"), _square("e", "n", 5000).alias("geom"))
-    return points_in_polygons(national(spark, sf_dir), zones, "1km").groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_points"))
+    zones = national(spark, sf_dir).select(F.col("id").alias("zone_id"), _square("e", "n", 5000).alias("geom"))
+    return points_in_polygons(national(spark, sf_dir), zones, "5km").groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+def _tile_x(lon: str) -> str:
+    return f"least(63, greatest(0, floor(({lon} + 180) / 360 * 64)))::BIGINT"
+
+
+def _tile_y(lat: str) -> str:
+    s = f"sin(radians(least(85.05112878, greatest(-85.05112878, {lat}))))"
+    return f"least(63, greatest(0, floor((0.5 - ln((1 + {s}) / (1 - {s})) / (4 * pi())) * 64)))::BIGINT"
+
+
+def _text(v: str) -> str:
+    """Spark's text of a coordinate of up to 7 digits before the point; larger ones turn to powers of ten there."""
+    plain = f"regexp_replace(format('{{:.3f}}', {v}), '(\\.[0-9]*?)0+$', '\\1')"
+    small = f"(CASE WHEN {plain} LIKE '%.' THEN {plain} || '0' ELSE {plain} END)"
+    return small
 
 
 _RING = "range(-1, 2)"
@@ -264,8 +281,12 @@ def oracle_sql() -> dict[str, str]:
     cell_of = lambda x, y, z: f"{quadbin._HEADER} | ({z}::BIGINT << 52) | {_spread_sql(f'({x} << {26 - z})')} | ({_spread_sql(f'({y} << {26 - z})')} << 1) | {((1 << 52) - 1) >> (2 * z)}"
     kring = lambda low, high, skip: f"WITH p AS ({GRID_SQL}), q AS (SELECT id, e // 1000 * 1000 + dx * 1000 AS x2, n // 1000 * 1000 + dy * 1000 AS y2 FROM p, range({low}, {high}) a(dx), range({low}, {high}) b(dy) WHERE {skip}) SELECT id, {_bng_sql('x2', 'y2', 3)} AS cell FROM q WHERE {_AT_LEAST_0}"
     covered = "((e + {s} - 1) // 1000 - e // 1000 + 1)"
-    inside = "WHERE e < 690000 AND n < 1290000"
     grown = lambda lo, hi, where, skip="": f"WITH p AS ({GRID_SQL}), q AS (SELECT id, x * 1000 AS x2, y * 1000 AS y2 FROM p, range(-1, 5) a(dx), range(-1, 5) b(dy), LATERAL (SELECT e // 1000 + dx AS x, n // 1000 + dy AS y, (e + 1500 - 1) // 1000 AS ex, (n + 1500 - 1) // 1000 AS ny) WHERE {where} AND x <= ex + 1 AND y <= ny + 1 {skip}) SELECT id, {_bng_sql('x2', 'y2', 3)} AS cell FROM q WHERE {_AT_LEAST_0}"
+    wide = lambda low, high, skip: f"WITH p AS ({GRID_SQL}), q AS (SELECT id, e // 10000 * 10000 + dx * 10000 AS x2, n // 10000 * 10000 + dy * 10000 AS y2 FROM p, range({low}, {high}) a(dx), range({low}, {high}) b(dy) WHERE {skip}) SELECT id, {_bng_sql('x2', 'y2', 2)} AS cell FROM q WHERE {_AT_LEAST_0}"
+    widely = lambda skip: f"WITH p AS ({GRID_SQL}), q AS (SELECT id, x * 10000 AS x2, y * 10000 AS y2 FROM p, range(-1, 5) a(dx), range(-1, 5) b(dy), LATERAL (SELECT e // 10000 + dx AS x, n // 10000 + dy AS y, (e + 15000 - 1) // 10000 AS ex, (n + 15000 - 1) // 10000 AS ny) WHERE x <= ex + 1 AND y <= ny + 1 AND {skip}) SELECT id, {_bng_sql('x2', 'y2', 2)} AS cell FROM q WHERE {_AT_LEAST_0}"
+    # Cells of 1 km that a square of 400 m touches, whose union with the square of 700 m there is the larger one's part.
+    part = lambda v: f"(CASE WHEN {v} % 1000 + 400 > 1000 THEN 700 ELSE least(700, 1000 - {v} % 1000) END)"
+    overlap = f"{part('e')} * {part('n')}"
     return {
         "events_by_cell": f"{_point_cte(6)} SELECT cell, count(*) AS n_events, round(sum(value), 4) AS sum_value, round(avg(value), 6) AS avg_value FROM c GROUP BY cell ORDER BY n_events DESC, cell LIMIT 10",
         "quadbin_pointascell": f"{_point_cte(14)} SELECT event_id, cell FROM c",
@@ -274,9 +295,9 @@ def oracle_sql() -> dict[str, str]:
         "quadbin_aswkb": f"{_point_cte(8)}, b AS (SELECT event_id, {b8} FROM c) SELECT event_id, round(west, 6) AS xmin, round(south, 6) AS ymin, round(east, 6) AS xmax, round(north, 6) AS ymax FROM b",
         "quadbin_distance": f"{_point_cte(10)}, l AS ({london}) SELECT event_id, greatest(abs(x - lx), abs(y - ly))::INT AS distance FROM c, l",
         "quadbin_kring": f"{_point_cte(5)}, k AS (SELECT event_id, x + dx AS x, y + dy AS y FROM t, range(-1, 2) a(dx), range(-1, 2) b(dy)) SELECT event_id, {cell_of('x', 'y', 5)} AS cell FROM k WHERE x BETWEEN 0 AND 31 AND y BETWEEN 0 AND 31",
-        "quadbin_tessellate": f"WITH p AS ({POINTS_SQL}) SELECT event_id, 2.25::DOUBLE AS area FROM p WHERE abs(lat) < 80 AND abs(lon) < 170",
-        "quadbin_cellunion": f"{_point_cte(7)}, b AS (SELECT event_id, 3 * 360 / 128.0::DOUBLE AS w, degrees(atan(sinh(pi() * (1 - 2 * (y - 1) / 128.0::DOUBLE)))) - degrees(atan(sinh(pi() * (1 - 2 * (y + 2) / 128.0::DOUBLE)))) AS h FROM c WHERE abs(lat) < 60 AND abs(lon) < 150) SELECT event_id, round(w * h, 5) AS area FROM b",
-        "quadbin_cellunion_agg": f"{_point_cte(6)}, d AS (SELECT DISTINCT event_id % 97 AS k, x, y FROM c WHERE abs(lat) < 60 AND abs(lon) < 150) SELECT k, round(sum(360 / 64.0::DOUBLE * (degrees(atan(sinh(pi() * (1 - 2 * y / 64.0::DOUBLE)))) - degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 64.0::DOUBLE)))))), 4) AS area FROM d GROUP BY k",
+        "quadbin_tessellate": f"WITH p AS ({POINTS_SQL}) SELECT event_id, round((least(lon + 1.5, 180) - lon) * (least(lat + 1.5, 85.05112877980659::DOUBLE) - lat), 6) AS area FROM p",
+        "quadbin_cellunion": f"{_point_cte(7)}, b AS (SELECT event_id, (least(x + 2, 128) - greatest(x - 1, 0)) * 360 / 128.0::DOUBLE AS w, degrees(atan(sinh(pi() * (1 - 2 * greatest(y - 1, 0) / 128.0::DOUBLE)))) - degrees(atan(sinh(pi() * (1 - 2 * least(y + 2, 128) / 128.0::DOUBLE)))) AS h FROM c) SELECT event_id, round(w * h, 5) AS area FROM b",
+        "quadbin_cellunion_agg": f"{_point_cte(6)}, d AS (SELECT DISTINCT event_id % 97 AS k, x, y FROM c) SELECT k, round(sum(360 / 64.0::DOUBLE * (degrees(atan(sinh(pi() * (1 - 2 * y / 64.0::DOUBLE)))) - degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 64.0::DOUBLE)))))), 4) AS area FROM d GROUP BY k",
         "custom_grid": f"WITH p AS ({GRID_SQL}) SELECT id, 0::BIGINT AS bound_x_min, 1000000::BIGINT AS bound_x_max, 0::BIGINT AS bound_y_min, 2000000::BIGINT AS bound_y_max, 2::INT AS cell_splits, 1000::INT AS root_cell_size_x, 1000::INT AS root_cell_size_y, -1::INT AS srid FROM p",
         "custom_pointascell": f"{_CUSTOM} SELECT id, {_CUSTOM_ID} (cy * 8000 + cx) AS cell FROM c",
         "custom_cellaswkb": f"{_CUSTOM} SELECT id, cx * 125.0::DOUBLE AS xmin, cy * 125.0::DOUBLE AS ymin, (cx + 1) * 125.0::DOUBLE AS xmax, (cy + 1) * 125.0::DOUBLE AS ymax FROM c",
@@ -294,16 +315,50 @@ def oracle_sql() -> dict[str, str]:
         "bng_kring": kring(-1, 2, "TRUE"),
         "bng_kloop": kring(-2, 3, "greatest(abs(dx), abs(dy)) = 2"),
         "bng_polyfill": f"{_SQUARE_CELLS}, q AS (SELECT id, e, n, (e // 1000 + i) * 1000 AS x2, (n // 1000 + j) * 1000 AS y2 FROM i) SELECT id, {_bng_sql('x2', 'y2', 3)} AS cell FROM q WHERE x2 + 500 >= e AND x2 + 500 < e + 2500 AND y2 + 500 >= n AND y2 + 500 < n + 2500",
-        "bng_tessellate": f"WITH p AS ({GRID_SQL}) SELECT id, {covered.format(s=2500)} * ((n + 2499) // 1000 - n // 1000 + 1) AS n_chips, ((e + 2500) // 1000 - (e + 999) // 1000) * ((n + 2500) // 1000 - (n + 999) // 1000) AS n_core, 6250000.0::DOUBLE AS area FROM p {inside}",
-        "bng_geomkring": grown(-1, 2, "e < 600000 AND n < 1200000"),
-        "bng_geomkloop": grown(-1, 2, "e BETWEEN 10000 AND 600000 AND n BETWEEN 10000 AND 1200000", "AND NOT (x BETWEEN e // 1000 AND ex AND y BETWEEN n // 1000 AND ny)"),
-        "bng_cellintersection": f"WITH p AS ({GRID_SQL}) SELECT id, 160000.0::DOUBLE AS area FROM p {inside}",
-        "bng_cellintersection_agg": f"WITH p AS ({GRID_SQL}) SELECT id, 160000.0::DOUBLE AS area FROM p {inside}",
-        "spatial_join": f"WITH p AS ({GRID_SQL}), z AS (SELECT * FROM p WHERE id % 50 = 0) SELECT z.id AS zone_id, count(*) AS n_points FROM z JOIN p ON p.e >= z.e AND p.e < z.e + 5000 AND p.n >= z.n AND p.n < z.n + 5000 GROUP BY z.id",
+        "bng_tessellate": f"WITH p AS ({GRID_SQL}) SELECT id, {covered.format(s=2500)} * ((n + 2499) // 1000 - n // 1000 + 1) AS n_chips, ((e + 2500) // 1000 - (e + 999) // 1000) * ((n + 2500) // 1000 - (n + 999) // 1000) AS n_core, 6250000.0::DOUBLE AS area FROM p",
+        "bng_geomkring": grown(-1, 2, "TRUE"),
+        "bng_geomkloop": grown(-1, 2, "TRUE", "AND NOT (x BETWEEN e // 1000 AND ex AND y BETWEEN n // 1000 AND ny)"),
+        "bng_cellintersection": f"WITH p AS ({GRID_SQL}) SELECT id, 160000.0::DOUBLE AS area FROM p",
+        "bng_cellintersection_agg": f"WITH p AS ({GRID_SQL}) SELECT id, 160000.0::DOUBLE AS area FROM p",
+        "quadbin_polyfill": f"""WITH p AS ({POINTS_SQL}), b AS (SELECT event_id, {_tile_x('lon')} AS x0, {_tile_x('lon + 1.5')} AS x1, {_tile_y('lat + 1.5')} AS y0, {_tile_y('lat')} AS y1 FROM p)
+SELECT event_id, {cell_of('(x0 + dx)', '(y0 + dy)', 6)} AS cell FROM b, range(0, 3) a(dx), range(0, 24) c(dy) WHERE x0 + dx <= x1 AND y0 + dy <= y1""",
+        "bng_kringexplode": wide(-2, 3, "TRUE"),
+        "bng_kloopexplode": wide(-1, 2, "greatest(abs(dx), abs(dy)) = 1"),
+        "bng_geomkringexplode": widely("TRUE"),
+        "bng_geomkloopexplode": widely("NOT (x BETWEEN e // 10000 AND ex AND y BETWEEN n // 10000 AND ny)"),
+        "bng_tessellateexplode": f"""{_SQUARE_CELLS}, q AS (SELECT id, (e // 1000 + i) * 1000 AS x2, (n // 1000 + j) * 1000 AS y2, e, n FROM i),
+r AS (SELECT *, least(e + 2500, x2 + 1000) - greatest(e, x2) AS w, least(n + 2500, y2 + 1000) - greatest(n, y2) AS h FROM q)
+SELECT id, {_bng_sql('x2', 'y2', 3)} AS cellid, w = 1000 AND h = 1000 AS core, round(w * h::DOUBLE, 3) AS area FROM r WHERE w > 0 AND h > 0""",
+        "bng_cellunion": f"""WITH p AS ({GRID_SQL}) SELECT id, {overlap}::DOUBLE AS area FROM p""",
+        "bng_cellunion_agg": f"""WITH p AS ({GRID_SQL}) SELECT id, {overlap}::DOUBLE AS area FROM p""",
+        "custom_cellaswkt": f"""{_CUSTOM}, b AS (SELECT id, cx * 125.0::DOUBLE AS a, cy * 125.0::DOUBLE AS b, (cx + 1) * 125.0::DOUBLE AS c, (cy + 1) * 125.0::DOUBLE AS d FROM c)
+SELECT id, 'POLYGON ((' || {_text('c')} || ' ' || {_text('b')} || ', ' || {_text('c')} || ' ' || {_text('d')} || ', ' || {_text('a')} || ' ' || {_text('d')} || ', ' || {_text('a')} || ' ' || {_text('b')} || ', ' || {_text('c')} || ' ' || {_text('b')} || '))' AS wkt FROM b""",
+        "spatial_join": f"WITH p AS ({GRID_SQL}), z AS (SELECT * FROM p) SELECT z.id AS zone_id, count(*) AS n_points FROM z JOIN p ON p.e >= z.e AND p.e < z.e + 5000 AND p.n >= z.n AND p.n < z.n + 5000 GROUP BY z.id",
     }
 
 
+def bng_kringexplode(spark, sf_dir):
+    return _bng(spark, sf_dir, 2).select("id", F.explode(bng.kring("cell", F.lit(2), 2)).alias("cell"))
+
+
+def bng_kloopexplode(spark, sf_dir):
+    return _bng(spark, sf_dir, 2).select("id", F.explode(bng.kloop("cell", F.lit(1), 2)).alias("cell"))
+
+
+def bng_geomkringexplode(spark, sf_dir):
+    return national(spark, sf_dir).select("id", F.explode(cells.bng_geomkring(_square("e", "n", 15_000), "10km", F.lit(1))).alias("cell"))
+
+
+def bng_geomkloopexplode(spark, sf_dir):
+    return national(spark, sf_dir).select("id", F.explode(cells.bng_geomkloop(_square("e", "n", 15_000), "10km", 1)).alias("cell"))
+
+
+def bng_tessellateexplode(spark, sf_dir):
+    chips = national(spark, sf_dir).select("id", cells.bng_tessellateexplode(_square("e", "n", 2500), "1km"))
+    return chips.select("id", "cellid", "core", F.round(F.coalesce(cells.area_of("chip"), F.lit(1e6)), 3).alias("area"))
+
+
 def queries() -> dict:
     names = [n for n in globals() if n.startswith(("quadbin_", "bng_", "custom_")) and n not in ("custom_grid", "custom_grid_spec")]
     found = {n: globals()[n] for n in ["events_by_cell", *names, "spatial_join"]}
-    return found | {"custom_grid": custom_grid_spec} | {f"bng_{n}explode": globals()[f"bng_{n}"] for n in ("kring", "kloop", "geomkring", "geomkloop")}
+    return found | {"custom_grid": custom_grid_spec}

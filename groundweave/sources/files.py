@@ -67,7 +67,7 @@ def read_geojson(spark: SparkSession, path: str, multi: bool = False) -> DataFra
 
 def write_geojsonl(rows: DataFrame, path: str, geom: str = "geom_0", max_records: int = 0) -> None:
     """One feature a line, in as many files as there are partitions."""
-    attributes = [c for c in rows.columns if not c.startswith(geom)]
+    attributes = [c for c in rows.columns if c not in (geom, f"{geom}_srid", f"{geom}_srid_proj")]
     line = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}) if attributes else F.lit("{}"), F.lit(',"geometry":'), F.coalesce(_wkb_geojson(geom), F.lit("null")), F.lit("}"))
     rows.select(line.alias("value")).write.option("maxRecordsPerFile", max_records).text(path)
 
