@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.wkb import box_wkb, point_wkb
 from ..operators import pixels as P
-from ..raster.functions import combineavg_agg, derivedband_agg, frombands_agg, from_pixels, fromcontent, gridfrompoints_agg, merge_agg, rasterize_agg, rst, to_pixels
+from ..raster.functions import combineavg_agg, derivedband_agg, frombands_agg, from_pixels, fromcontent, gridfrompoints_agg, merge_agg, overview, rasterize_agg, rst, to_pixels
 from .derive import PIXELS_SQL, pixels
 
 GT = (10.0, 0.5, 0.0, 50.0, 0.0, -0.5)
@@ -81,6 +81,13 @@ def _parts(name, *args, bands=False):
     return query
 
 
+def _cog(spark, sf_dir):
+    """Pixels of a tiled file and of its first overview."""
+    made = _tiles(spark, sf_dir).select("tile_id", rst("cog_convert", "tile", "DEFLATE", 16).alias("tile"))
+    first = made.select("tile_id", overview("tile", 1).alias("tile"))
+    return _shown(made).withColumn("factor", F.lit(1)).unionByName(_shown(first).withColumn("factor", F.lit(2)))
+
+
 def _histogram(spark, sf_dir):
     found = _tiles(spark, sf_dir).select("tile_id", F.element_at(rst("histogram", "tile", 8, 0.0, 80000.0), "band_1").alias("h"))
     return found.select("tile_id", F.posexplode("h").alias("bucket", "n"))
@@ -121,13 +128,13 @@ def _agg(f):
 
 
 def _frombands_agg(spark, sf_dir):
-    whole = _tiles(spark, sf_dir).where("tile_id < 4").groupBy(F.lit(0).cast("long").alias("tile_id")).agg(frombands_agg("tile", "tile_id").alias("tile"))
+    whole = _tiles(spark, sf_dir).groupBy(F.lit(0).cast("long").alias("tile_id")).agg(frombands_agg("tile", "tile_id").alias("tile"))
     return _shown(whole, 2)
 
 
 def _array(name, *args):
     def query(spark, sf_dir):
-        whole = _tiles(spark, sf_dir).where("tile_id < 3").groupBy(F.lit(0).cast("long").alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("tile_id", F.col("tile").getField("raster").alias("raster")))).alias("xs"))
+        whole = _tiles(spark, sf_dir).groupBy(F.lit(0).cast("long").alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("tile_id", F.col("tile").getField("raster").alias("raster")))).alias("xs"))
         tiles = F.transform("xs", lambda x: F.struct(F.lit(0).cast("long").alias("cellid"), x["raster"].alias("raster"), F.create_map(F.lit("driver"), F.lit("GTiff")).alias("metadata")))
         return _shown(whole.select("tile_id", tiles.alias("tiles")).select("tile_id", rst(name, "tiles", *args).alias("tile")))
 
@@ -162,8 +169,8 @@ def _idw(spark, sf_dir):
 
 
 def _polygonize(spark, sf_dir):
-    coarse = _bands(spark, sf_dir).where("band = 1 and row < 16 and col < 16").withColumn("value", F.floor(F.col("value") / 20000).cast("double"))
-    shapes = from_pixels(coarse, 16, 16, (0.0, 1.0, 0.0, 16.0, 0.0, -1.0)).select("tile_id", F.inline(rst("polygonize", "tile")))
+    coarse = _bands(spark, sf_dir).where("band = 1").withColumn("value", F.floor(F.col("value") / 20000).cast("double"))
+    shapes = from_pixels(coarse, 64, 64, (0.0, 1.0, 0.0, 16.0, 0.0, -1.0)).select("tile_id", F.inline(rst("polygonize", "tile")))
     return shapes.groupBy("tile_id", "value").agg(F.round(F.sum(cells.area_of("geom_wkb")), 6).alias("area"))
 
 
@@ -185,12 +192,14 @@ def queries() -> dict:
     found["rst_subdatasets"] = _accessor("subdatasets", kind=F.size)
     found["rst_getsubdataset"] = lambda spark, sf_dir: _tiles(spark, sf_dir).select("tile_id", rst("getsubdataset", "tile", "a").isNull().alias("value"))
     found["rst_boundingbox"] = lambda spark, sf_dir: _tiles(spark, sf_dir).select("tile_id", cells.bounds_of(rst("boundingbox", "tile")).alias("b")).select("tile_id", "b.*")
-    found |= {f"rst_{n}": _through(n) for n in ("slope", "aspect", "hillshade", "tpi", "roughness", "fillnodata", "initnodata", "proximity", "cog_convert")}
+    found |= {f"rst_{n}": _through(n) for n in ("slope", "aspect", "hillshade", "tpi", "roughness", "fillnodata", "initnodata", "proximity")}
     found["rst_tri"] = _through("tri", digits=3)
     found |= {"rst_filter": _through("filter", 3, "avg"), "rst_filter_median": _through("filter", 3, "median"), "rst_filter_mode": _through("filter", 3, "mode"), "rst_filter_max": _through("filter", 5, "max"), "rst_convolve": _through("convolve", KERNEL)}
     found |= {"rst_threshold": _through("threshold", ">", 40000.0), "rst_updatetype": _through("updatetype", "Int32"), "rst_setsrid": lambda s, d: _tiles(s, d).select("tile_id", rst("srid", rst("setsrid", "tile", 3857)).alias("value"))}
     found |= {"rst_band": _through("band", 2, bands=True), "rst_ndvi": _through("ndvi", 1, 2, bands=True), "rst_evi": _through("evi", 1, 2, 3, bands=True), "rst_savi": _through("savi", 1, 2, bands=True), "rst_ndwi": _through("ndwi", 1, 2, bands=True), "rst_nbr": _through("nbr", 1, 2, bands=True), "rst_index": _through("index", "gndvi", {"green": 1, "nir": 2}, bands=True)}
-    found |= {"rst_resample": _through("resample", 0.5, "nearest"), "rst_resample_to_size": _through("resample_to_size", 32, 32, "nearest"), "rst_resample_to_res": _through("resample_to_res", 20.0, 20.0, "nearest"), "rst_buildoverviews": _through("buildoverviews", [2, 4])}
+    found |= {"rst_resample": _through("resample", 0.5, "nearest"), "rst_resample_to_size": _through("resample_to_size", 32, 32, "nearest"), "rst_resample_to_res": _through("resample_to_res", 20.0, 20.0, "nearest")}
+    found["rst_buildoverviews"] = lambda s, d: _shown(_tiles(s, d).select("tile_id", overview(rst("buildoverviews", "tile", [2, 4]), 2).alias("tile")))
+    found["rst_cog_convert"] = _cog
     found |= {"rst_transform": _through("transform", 3857, gt=GT, srid=4326), "rst_to_webmercator": _through("to_webmercator", "nearest", gt=GT, srid=4326)}
     found |= {"rst_retile": _parts("retile", 24, 24), "rst_tooverlappingtiles": _parts("tooverlappingtiles", 32, 32, 25.0), "rst_maketiles": _parts("maketiles", 0.01), "rst_separatebands": _parts("separatebands", bands=True)}
     found |= {"rst_rastertoworldcoord": _coord("rastertoworldcoord", 3, 5), "rst_worldtorastercoord": _coord("worldtorastercoord", 12.3, 44.4)}
@@ -200,8 +209,8 @@ def queries() -> dict:
     found |= {"rst_combineavg_agg": _agg(combineavg_agg), "rst_merge_agg": _agg(merge_agg), "rst_frombands_agg": _frombands_agg, "rst_combineavg": _array("combineavg"), "rst_merge": _array("merge"), "rst_frombands": _array("frombands"), "rst_mapalgebra": _mapalgebra}
     source = "def top(bands):\n    return np.fmax.reduce(bands)\n"
     found |= {"rst_derivedband": _array("derivedband", source, "top"), "rst_derivedband_agg": _agg(lambda t: derivedband_agg(t, source, "top"))}
-    found["rst_fromcontent"] = lambda s, d: _tiles(s, d).select("tile_id", rst("width", fromcontent("tile.raster", "GTiff")).alias("value"))
-    found["rst_asformat"] = lambda s, d: _tiles(s, d).select("tile_id", rst("width", rst("asformat", "tile", "GTiff")).alias("value"))
+    found["rst_fromcontent"] = lambda s, d: _shown(_tiles(s, d).select("tile_id", fromcontent("tile.raster", "GTiff").alias("tile")))
+    found["rst_asformat"] = lambda s, d: _shown(_tiles(s, d).select("tile_id", rst("asformat", "tile", "GTiff").alias("tile")))
     found["rst_contour"] = lambda s, d: _tiles(s, d, gt=_PLAIN).select("tile_id", F.inline(rst("contour", rst("fillnodata", "tile"), [30000.0, 50000.0]))).groupBy("tile_id", "value").agg(F.count(F.lit(1)).alias("n_lines"))
     found["rst_viewshed"] = lambda s, d: _shown(_tiles(s, d, gt=_PLAIN).select("tile_id", rst("viewshed", rst("fillnodata", "tile"), point_wkb(F.lit(325.0), F.lit(325.0)), 100.0).alias("tile"))).groupBy("tile_id", "value").agg(F.count(F.lit(1)).alias("n"))
     found["rst_color_relief"] = lambda s, d: _shown(_tiles(s, d, gt=_PLAIN).select("tile_id", rst("color_relief", "tile", "0 0 0 0\n100000 255 255 255").alias("tile")))
@@ -253,7 +262,9 @@ def oracle_sql() -> dict[str, str]:
         **dict.fromkeys(("rst_filter", "pixels_focal"), mean), "rst_filter_median": f"{sent(1)} SELECT {keys}, round(median(w), 6) AS value FROM n GROUP BY {keys}", "rst_filter_max": f"{sent(2)} SELECT {keys}, round(max(w), 6) AS value FROM n GROUP BY {keys}",
         "rst_convolve": f"{sent(1)}, t AS (SELECT DISTINCT tile_id FROM p), c AS (SELECT {keys}, {weighted({(i - 1, j - 1): v for i, r in enumerate(KERNEL) for j, v in enumerate(r) if v})} AS value FROM n GROUP BY {keys}) SELECT t.tile_id, 1::INT AS band, r::INT AS \"row\", q::INT AS col, round(coalesce(c.value, 0), 6) AS value FROM t CROSS JOIN range(0, 64) a(r) CROSS JOIN range(0, 64) b(q) LEFT JOIN c ON c.tile_id = t.tile_id AND c.\"row\" = r AND c.col = q",
         "pixels_convolve": f"{near1} SELECT {keys}, round({weighted({(i - 1, j - 1): v for i, r in enumerate(KERNEL) for j, v in enumerate(r) if v})}, 6) AS value FROM n GROUP BY {keys}",
-        **dict.fromkeys(("rst_initnodata", "rst_buildoverviews", "rst_cog_convert"), f"{p} SELECT {keys}, round(value, 6) AS value FROM p"),
+        "rst_initnodata": f"{p} SELECT {keys}, round(value, 6) AS value FROM p",
+        "rst_buildoverviews": f'{p} SELECT tile_id, band, "row" // 4 AS "row", col // 4 AS col, round(avg(value), 6) AS value FROM p GROUP BY ALL',
+        "rst_cog_convert": f'{p} SELECT 1 AS factor, {keys}, round(value, 6) AS value FROM p UNION ALL SELECT 2, tile_id, band, "row" // 2, col // 2, round(avg(value), 6) FROM p GROUP BY ALL',
         "rst_threshold": f"{p} SELECT {keys}, value FROM p WHERE value > 40000", "rst_updatetype": f"{p} SELECT {keys}, round_even(value, 0) AS value FROM p",
         "rst_band": f'{b} SELECT tile_id, 1::INT AS band, "row", col, round(value, 6) AS value FROM p WHERE band = 2',
         **dict.fromkeys(("rst_ndvi", "pixels_ndvi"), index("(b2 - b1) / (b2 + b1)")), "rst_evi": index("2.5 * (b2 - b1) / (b2 + 6 * b1 - 7.5 * b3 + 1)"), "rst_savi": index("(b2 - b1) / (b2 + b1 + 0.5) * 1.5"), "rst_ndwi": index("(b1 - b2) / (b1 + b2)"), "rst_nbr": index("(b1 - b2) / (b1 + b2)"), "rst_index": index("(b2 - b1) / (b2 + b1)"),
@@ -262,13 +273,16 @@ def oracle_sql() -> dict[str, str]:
         "rst_histogram": f"{p}, t AS (SELECT DISTINCT tile_id FROM p), h AS (SELECT tile_id, least(7, floor(value / 10000))::INT AS bucket, count(*) AS n FROM p WHERE value BETWEEN 0 AND 80000 GROUP BY ALL) SELECT tile_id, k::INT AS bucket, coalesce(n, 0) AS n FROM t CROSS JOIN range(0, 8) r(k) LEFT JOIN h ON h.tile_id = t.tile_id AND h.bucket = k".replace("SELECT tile_id, k::INT", "SELECT t.tile_id, k::INT"),
         "rst_sample": f'{p}, t AS (SELECT DISTINCT tile_id FROM p) SELECT t.tile_id, coalesce(round(value, 2), -9999) AS value FROM t LEFT JOIN p ON p.tile_id = t.tile_id AND p.col = t.tile_id AND p."row" = 9',
         "rst_clip": f'{p} SELECT tile_id, band, round(value, 2) AS value FROM p WHERE col BETWEEN 10 AND 29 AND "row" BETWEEN 20 AND 39',
-        "rst_polygonize": f'{b} SELECT tile_id, floor(value / 20000) AS value, count(*)::DOUBLE AS area FROM p WHERE band = 1 AND "row" < 16 AND col < 16 GROUP BY tile_id, floor(value / 20000)',
+        "rst_polygonize": f'{b} SELECT tile_id, floor(value / 20000) AS value, count(*)::DOUBLE AS area FROM p WHERE band = 1 GROUP BY tile_id, floor(value / 20000)',
         "rst_rasterize": f"{p}, t AS (SELECT DISTINCT tile_id FROM p) SELECT tile_id, 1::INT AS band, r::INT AS \"row\", c::INT AS col, tile_id + 1.0::DOUBLE AS value FROM t, range(27, 32) a(r), range(0, 32) b(c) WHERE c >= tile_id AND c < tile_id + 10",
         "rst_rasterize_agg": f"{p}, t AS (SELECT DISTINCT tile_id FROM p) SELECT 0::BIGINT AS tile_id, 1::INT AS band, r::INT AS \"row\", c::INT AS col, tile_id::DOUBLE AS value FROM t, range(27, 32) a(r), range(0, 32) b(c) WHERE c // 2 = tile_id",
         **{f"rst_quadbin_rastertogrid{m}": measure(f) for m, f in {"avg": "avg(value)", "count": "count(*)", "max": "max(value)", "min": "min(value)", "median": "median(value)"}.items()}, "pixels_quadbin": measure("avg(value)"),
-        "rst_combineavg_agg": whole("avg(value)"), "rst_combineavg": whole("avg(value)", "tile_id < 3"), "rst_merge": whole("arg_max(value, tile_id)", "tile_id < 3"), "rst_derivedband": whole("max(value)", "tile_id < 3"), "rst_derivedband_agg": whole("max(value)"),
-        "rst_frombands": f'{p} SELECT 0::BIGINT AS tile_id, (tile_id + 1)::INT AS band, "row", col, round(value, 6) AS value FROM p WHERE tile_id < 3', "rst_frombands_agg": f'{p} SELECT 0::BIGINT AS tile_id, (tile_id + 1)::INT AS band, "row", col, round(value, 2) AS value FROM p WHERE tile_id < 4',
+        "rst_combineavg_agg": whole("avg(value)"), "rst_combineavg": whole("avg(value)"), "rst_merge": whole("arg_max(value, tile_id)"), "rst_derivedband": whole("max(value)"), "rst_derivedband_agg": whole("max(value)"),
+        "rst_frombands": f'{p} SELECT 0::BIGINT AS tile_id, (tile_id + 1)::INT AS band, "row", col, round(value, 6) AS value FROM p ', "rst_frombands_agg": f'{p} SELECT 0::BIGINT AS tile_id, (tile_id + 1)::INT AS band, "row", col, round(value, 2) AS value FROM p ',
         "pixels_retile": f'{p} SELECT tile_id, (col // 16)::BIGINT AS window_x, ("row" // 16)::BIGINT AS window_y, count(*) AS n, round(sum(value), 2) AS total FROM p GROUP BY ALL',
         "pixels_statistics": f"{b} SELECT tile_id, band, round(avg(value), 6) AS avg, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median, count(*) AS pixelcount FROM p GROUP BY tile_id, band",
     }
-    return found
+    # Of every pixel, the distance to the nearest one with a value that doesn't round to 0.
+    found["rst_proximity"] = f"""{p}, v AS (SELECT * FROM p WHERE floor(abs(value) + 0.5) > 0), g AS (SELECT tile_id, r, c FROM (SELECT DISTINCT tile_id FROM p), range(0, 64) a(r), range(0, 64) b(c))
+SELECT g.tile_id, 1::INT AS band, g.r::INT AS "row", g.c::INT AS col, round(sqrt(min((g.r - v."row") * (g.r - v."row") + (g.c - v.col) * (g.c - v.col)) * 100)::FLOAT::DOUBLE, 6) AS value FROM g JOIN v ON v.tile_id = g.tile_id GROUP BY ALL"""
+    return found | dict.fromkeys(("rst_fromcontent", "rst_asformat"), f"{p} SELECT {keys}, round(value, 6) AS value FROM p")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import grid_queries, raster_queries, vector_queries
+from . import grid_queries, raster_queries, source_queries, vector_queries
 
-MODULES = (grid_queries, raster_queries, vector_queries)
+MODULES = (grid_queries, raster_queries, vector_queries, source_queries)
 
 
 def queries() -> dict:

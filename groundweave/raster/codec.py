@@ -1,7 +1,9 @@
 """Rasters in memory and as GeoTIFF bytes.
 
-The writer is deterministic: little-endian, one DEFLATE strip a band, bands apart, with the
-geotransform, the EPSG code and NoData in the usual tags. The reader takes strips or
+The writer is deterministic: little-endian, bands apart, with the geotransform, the EPSG
+code and NoData in the usual tags. A band is one DEFLATE strip, or tiles where ``block`` is
+set; overviews are further images of the file, and of a tiled file all directories come
+first, then the pixels of the smallest image up to the largest. The reader takes strips or
 tiles, either byte order, chunky or separate bands, no compression, DEFLATE or PackBits,
 and horizontal differencing.
 """
@@ -29,6 +31,10 @@ class Raster:
     srid: int = 0
     nodata: float | None = None
     tags: dict[str, str] = field(default_factory=dict)
+    #: Reduced images, the largest first; side of tiles (0: strips) and compression of the file.
+    overviews: list[np.ndarray] = field(default_factory=list)
+    block: int = 0
+    compression: str = "DEFLATE"
 
     @property
     def count(self) -> int:
@@ -59,7 +65,7 @@ class Raster:
         return float(value).is_integer() and info.min <= value <= info.max
 
     def like(self, bands: np.ndarray, **changes) -> Raster:
-        """The same place with other bands."""
+        """The same place with other bands, and so without overviews or tiles."""
         made = {"gt": self.gt, "srid": self.srid, "nodata": self.nodata, "tags": dict(self.tags)} | changes
         return Raster(bands if bands.ndim == 3 else bands[None], **made)
 
@@ -85,67 +91,96 @@ class Raster:
         return self.like(self.bands[:, row : row + height, col : col + width], gt=(x, self.gt[1], self.gt[2], y, self.gt[4], self.gt[5]))
 
 
-def encode(r: Raster) -> bytes:
-    """GeoTIFF bytes."""
-    data = np.ascontiguousarray(r.bands, r.bands.dtype.newbyteorder("<"))
-    strips = [zlib.compress(band.tobytes(), 6) for band in data]
-    kind = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
-    n, bits = r.count, data.dtype.itemsize * 8
-    entries: list[tuple[int, str, list]] = [
-        (256, "I", [r.width]), (257, "I", [r.height]), (258, "H", [bits] * n), (259, "H", [8]), (262, "H", [1]),
-        (273, "I", [0] * n), (277, "H", [n]), (278, "I", [r.height]), (279, "I", [len(s) for s in strips]), (284, "H", [2]),
-        (339, "H", [kind] * n),
-        (34264, "d", [r.gt[1], r.gt[2], 0, r.gt[0], r.gt[4], r.gt[5], 0, r.gt[3], 0, 0, 0, 0, 0, 0, 0, 1]),
+#: TIFF numbers of the compressions that are written.
+COMPRESSIONS = {"NONE": 1, "DEFLATE": 8}
+_CODES = {"s": 2, "H": 3, "I": 4, "d": 12}
+
+
+def _chunks(bands: np.ndarray, block: int, compression: str) -> list[bytes]:
+    """A band's strip or its tiles, row by row, band after band; tiles are filled up with zeros."""
+    data = np.ascontiguousarray(bands, bands.dtype.newbyteorder("<"))
+    if block:
+        n, h, w = data.shape
+        padded = np.zeros((n, -(-h // block) * block, -(-w // block) * block), data.dtype)
+        padded[:, :h, :w] = data
+        parts = [padded[k, i : i + block, j : j + block] for k in range(n) for i in range(0, h, block) for j in range(0, w, block)]
+    else:
+        parts = list(data)
+    return [zlib.compress(p.tobytes(), 6) if compression == "DEFLATE" else p.tobytes() for p in parts]
+
+
+def _entries(r: Raster, bands: np.ndarray, chunks: list[bytes], reduced: bool) -> list[tuple[int, str, list]]:
+    """One image's directory; the chunks' places are still 0."""
+    n, (h, w), kind = bands.shape[0], bands.shape[1:], bands.dtype
+    sizes = [len(c) for c in chunks]
+    out: list[tuple[int, str, list]] = [
+        (256, "I", [w]), (257, "I", [h]), (258, "H", [kind.itemsize * 8] * n), (259, "H", [COMPRESSIONS[r.compression]]), (262, "H", [1]), (277, "H", [n]), (284, "H", [2]), (339, "H", [{"u": 1, "i": 2, "f": 3}[kind.kind]] * n),
     ]
+    out += [(322, "I", [r.block]), (323, "I", [r.block]), (324, "I", [0] * len(chunks)), (325, "I", sizes)] if r.block else [(273, "I", [0] * len(chunks)), (278, "I", [h]), (279, "I", sizes)]
     if n > 1:
-        entries.append((338, "H", [0] * (n - 1)))
+        out.append((338, "H", [0] * (n - 1)))
+    if r.nodata is not None:
+        out.append((42113, "s", [repr(float(r.nodata)).encode() + b"\0"]))
+    if reduced:
+        return sorted([*out, (254, "I", [1])], key=lambda e: e[0])
+    out.append((34264, "d", [r.gt[1], r.gt[2], 0, r.gt[0], r.gt[4], r.gt[5], 0, r.gt[3], 0, 0, 0, 0, 0, 0, 0, 1]))
     if r.srid:
         geographic = 4000 <= r.srid < 5000
-        entries.append((34735, "H", [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, r.srid]))
+        out.append((34735, "H", [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, r.srid]))
     if r.tags:
         items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in sorted(r.tags.items()))
-        entries.append((42112, "s", [f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0"]))
-    if r.nodata is not None:
-        entries.append((42113, "s", [repr(float(r.nodata)).encode() + b"\0"]))
-    entries.sort(key=lambda e: e[0])
-    codes = {"s": 2, "H": 3, "I": 4, "d": 12}
-    head = 8 + 2 + 12 * len(entries) + 4
-    extra, places = b"", {}
-    for tag, code, values in entries:
-        raw = values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        if len(raw) > 4:
-            places[tag] = head + len(extra)
-            extra += raw + b"\0" * (len(raw) % 2)
-    at = head + len(extra)
-    offsets = [at + sum(map(len, strips[:k])) for k in range(n)]
-    out = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries))
-    body = b""
-    for tag, code, values in entries:
-        if tag == 273:
-            values = offsets
-        raw = values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        count = len(raw) if code == "s" else len(values)
-        if len(raw) > 4:
-            out += struct.pack("<HHII", tag, codes[code], count, places[tag])
-            body += raw + b"\0" * (len(raw) % 2)
-        else:
-            out += struct.pack("<HHI", tag, codes[code], count) + raw.ljust(4, b"\0")
-    return out + b"\0\0\0\0" + body + b"".join(strips)
+        out.append((42112, "s", [f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0"]))
+    return sorted(out, key=lambda e: e[0])
 
 
-def decode(data: bytes) -> Raster:
-    """The raster of GeoTIFF bytes; ValueError for anything else."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
-        raise ValueError("not a TIFF")
-    order = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack_from(order + "I", data, 4)[0]
+def _raw(code: str, values: list) -> bytes:
+    return values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
+
+
+def encode(r: Raster) -> bytes:
+    """GeoTIFF bytes."""
+    images = [r.bands, *r.overviews]
+    chunks = [_chunks(b, r.block, r.compression) for b in images]
+    directories = [_entries(r, b, c, k > 0) for k, (b, c) in enumerate(zip(images, chunks, strict=True))]
+    sizes = [2 + 12 * len(d) + 4 + sum(len(raw) + len(raw) % 2 for _, code, values in d if len(raw := _raw(code, values)) > 4) for d in directories]
+    starts = [8 + sum(sizes[:k]) for k in range(len(sizes))]
+    at = 8 + sum(sizes)
+    order = range(len(images) - 1, -1, -1) if r.block else range(len(images))
+    places: dict[int, list[int]] = {}
+    for k in order:
+        places[k] = [at + sum(map(len, chunks[k][:c])) for c in range(len(chunks[k]))] if len(chunks[k]) < 64 else (at + np.concatenate([[0], np.cumsum([len(c) for c in chunks[k][:-1]])])).tolist()
+        at += sum(map(len, chunks[k]))
+    out = struct.pack("<2sHI", b"II", 42, 8)
+    for k, entries in enumerate(directories):
+        out += struct.pack("<H", len(entries))
+        body, head = b"", starts[k] + 2 + 12 * len(entries) + 4
+        for tag, code, values in entries:
+            raw = _raw(code, places[k] if tag in (273, 324) else values)
+            out += struct.pack("<HHI", tag, _CODES[code], len(raw) if code == "s" else len(values))
+            if len(raw) > 4:
+                out += struct.pack("<I", head + len(body))
+                body += raw + b"\0" * (len(raw) % 2)
+            else:
+                out += raw.ljust(4, b"\0")
+        out += struct.pack("<I", starts[k + 1] if k + 1 < len(starts) else 0) + body
+    return out + b"".join(c for k in order for c in chunks[k])
+
+
+def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
+    """(tags, place of the next directory or 0)."""
     tags: dict[int, tuple] = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+    n = struct.unpack_from(order + "H", data, at)[0]
+    for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
         code = _SIZES.get(kind, "B")
         size = struct.calcsize("<" + code) * count
         place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
         tags[tag] = (data[place : place + count],) if code == "s" else struct.unpack_from(f"{order}{count}{code}", data, place)
+    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def _pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
+    """One image's bands."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, n = one(256, 0), one(257, 0), one(277, 1)
     kind = {1: "u", 2: "i", 3: "f"}[one(339, 1)]
@@ -169,6 +204,21 @@ def decode(data: bytes) -> Raster:
             out[:, row : row + rows, col : col + w] = part.transpose(2, 0, 1)
         else:
             out[band, row : row + rows, col : col + w] = part[:, :, 0]
+    return out
+
+
+def decode(data: bytes, reduced: bool = False) -> Raster:
+    """The raster of GeoTIFF bytes, with its overviews if asked for; ValueError for anything else."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("not a TIFF")
+    order = "<" if data[:2] == b"II" else ">"
+    tags, following = _directory(data, order, struct.unpack_from(order + "I", data, 4)[0])
+    out = _pixels(data, order, tags)
+    overviews = []
+    while reduced and following:
+        more, following = _directory(data, order, following)
+        if more.get(254, (0,))[0] & 1:
+            overviews.append(_pixels(data, order, more))
     if 34264 in tags:
         m = tags[34264]
         gt = (m[3], m[0], m[1], m[7], m[4], m[5])
@@ -184,7 +234,8 @@ def decode(data: bytes) -> Raster:
     import re
 
     named = dict(re.findall(r'<Item name="([^"]*)">([^<]*)</Item>', text(42112))) if 42112 in tags else {}
-    return Raster(out, tuple(float(v) for v in gt), srid, nodata, named)
+    named_compression = "NONE" if tags.get(259, (1,))[0] == 1 else "DEFLATE"
+    return Raster(out, tuple(float(v) for v in gt), srid, nodata, named, overviews, tags[322][0] if reduced and 322 in tags else 0, named_compression if reduced else "DEFLATE")
 
 
 def _unpacked(raw: bytes, compression: int) -> bytes:

@@ -8,7 +8,9 @@ pixel relations, whose operators are plain DataFrame operations, are in
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,18 @@ TILE_TO_VALUE = {
 TILES_TO_TILE = {n: getattr(K, n) for n in ("frombands", "combineavg", "merge", "mapalgebra", "derivedband")}
 
 
+#: Functions that ``rst`` builds itself.
+OTHERS = ("memsize", "tryopen", "rastertoworldcoord", "worldtorastercoord", "asformat", "getsubdataset", "rasterize", "gridfrompoints")
+
+
 def _plain(v):
+    """A kernel's argument: None for a missing number, SQL's decimals as floats."""
     if isinstance(v, float) and v != v:
         return None
+    if isinstance(v, Decimal):
+        return float(v)
+    if isinstance(v, (list, tuple, np.ndarray)) and len(v) and isinstance(v[0], (Decimal, list, np.ndarray)):
+        return [_plain(x) for x in v]
     return v
 
 
@@ -144,6 +155,26 @@ def fromcontent(content, driver="GTiff") -> Column:
     return F.when(col(content).isNotNull(), F.struct(F.lit(0).cast("long").alias("cellid"), col(content).alias("raster"), F.create_map(F.lit("driver"), _arg(driver)).alias("metadata")))
 
 
+@F.pandas_udf(_B)
+def _bytes_of(paths: pd.Series) -> pd.Series:
+    from pyarrow import fs
+
+    out = []
+    for p in paths:
+        if p is None:
+            out.append(None)
+            continue
+        store, name = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+        with store.open_input_stream(name) as f:
+            out.append(f.read())
+    return pd.Series(out, dtype=object)
+
+
+def fromfile(path, driver="GTiff") -> Column:
+    """A tile of the file at each path, which all executors must be able to open; null for null. For many files ``read_tiles`` plans better."""
+    return fromcontent(_bytes_of(col(path)), driver)
+
+
 def apply(tile, fn, return_type) -> Column:
     """A user's function of each tile's Raster."""
     return _udf(fn, return_type)(col(tile)["raster"])
@@ -199,6 +230,23 @@ def gridfrompoints_agg(point, value, *extent) -> Column:
     return as_tile(run(col(point), col(value)))
 
 
+def overview(tile, k: int) -> Column:
+    """A tile of the file's k-th overview (from 1), null if there are fewer; its pixels are as many times larger."""
+
+    def reduced(r: Raster):
+        if not 0 < k <= len(r.overviews):
+            return None
+        bands = r.overviews[k - 1]
+        x, y = r.width / bands.shape[2], r.height / bands.shape[1]
+        return encode(r.like(bands, gt=(r.gt[0], r.gt[1] * x, r.gt[2] * y, r.gt[3], r.gt[4] * x, r.gt[5] * y)))
+
+    @F.pandas_udf(_B)
+    def run(raster: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else reduced(decode(bytes(d), reduced=True)) for d in raster], dtype=object)
+
+    return as_tile(run(col(tile)["raster"]))
+
+
 def read_tiles(spark, path: str, pattern: str = "*.tif*") -> DataFrame:
     """source and tile of the GeoTIFF files under a path, one a row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -207,8 +255,6 @@ def read_tiles(spark, path: str, pattern: str = "*.tif*") -> DataFrame:
 
 def from_pixels(pixels: DataFrame, width: int, height: int, gt=(0.0, 1.0, 0.0, 0.0, 0.0, -1.0), srid: int = 0, nodata: float = K.NODATA) -> DataFrame:
     """tile_id and tile from a pixel relation (tile_id, band, row, col, value)."""
-    import numpy as np
-
     @F.pandas_udf(_B)
     def build(band: pd.Series, row: pd.Series, column: pd.Series, value: pd.Series) -> bytes:
         out = np.full((int(band.max()), height, width), nodata)
@@ -220,8 +266,6 @@ def from_pixels(pixels: DataFrame, width: int, height: int, gt=(0.0, 1.0, 0.0, 0
 
 def to_pixels(tiles: DataFrame, tile: str = "tile", *keep: str) -> DataFrame:
     """The pixel relation of valid pixels: kept columns, band, row, col, value."""
-    import numpy as np
-
     kind = T.ArrayType(T.StructType([T.StructField(c, _I) for c in ("band", "row", "col")] + [T.StructField("value", _D)]))
 
     def listed(r: Raster):

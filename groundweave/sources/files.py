@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 import sqlite3
 import struct
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -107,7 +105,7 @@ def _shapes(data: bytes) -> list[bytes | None]:
     return out
 
 
-def _records(data: bytes) -> list[dict]:
+def _records(data: bytes, encoding: str = "latin-1") -> list[dict]:
     """Rows of a .dbf file."""
     n, head, size = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
@@ -118,7 +116,7 @@ def _records(data: bytes) -> list[dict]:
     for k in range(n):
         at, row = head + k * size + 1, {}
         for name, kind, width, decimals in fields:
-            raw = data[at : at + width].decode("latin-1").strip()
+            raw = data[at : at + width].decode(encoding, "replace").strip()
             at += width
             if kind in "NF":
                 row[name] = None if not raw or raw[0] == "*" else float(raw) if decimals or "." in raw else int(raw)
@@ -156,23 +154,19 @@ def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataF
     def features(content: pd.Series) -> pd.Series:
         out = []
         for data in content:
-            with tempfile.NamedTemporaryFile(suffix=".gpkg", delete=False) as f:
-                f.write(bytes(data))
-            try:
-                db = sqlite3.connect(f.name)
-                name, column = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns" + (" WHERE table_name = ?" if layer else "") + " ORDER BY 1 LIMIT 1", (layer,) if layer else ()).fetchone()
-                cursor = db.execute(f'SELECT * FROM "{name}"')
-                names = [d[0] for d in cursor.description]
-                rows = []
-                for values in cursor:
-                    row = dict(zip(names, values, strict=True))
-                    blob = row.pop(column)
-                    envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7] if blob else 0
-                    rows.append({"properties": json.dumps({k: v for k, v in row.items() if not isinstance(v, bytes)}), "geom_0": bytes(blob[8 + envelope :]) if blob else None})
-                out.append(rows)
-                db.close()
-            finally:
-                os.unlink(f.name)
+            db = sqlite3.connect(":memory:")
+            db.deserialize(bytes(data))
+            name, column = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns" + (" WHERE table_name = ?" if layer else "") + " ORDER BY 1 LIMIT 1", (layer,) if layer else ()).fetchone()
+            cursor = db.execute(f'SELECT * FROM "{name}"')
+            names = [d[0] for d in cursor.description]
+            rows = []
+            for values in cursor:
+                row = dict(zip(names, values, strict=True))
+                blob = row.pop(column)
+                envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7] if blob else 0
+                rows.append({"properties": json.dumps({k: v for k, v in row.items() if not isinstance(v, bytes)}), "geom_0": bytes(blob[8 + envelope :]) if blob else None})
+            out.append(rows)
+            db.close()
         return pd.Series(out, dtype=object)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(path)

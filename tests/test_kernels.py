@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundweave.functions import bng, geometry, quadbin, wkb
-from groundweave.raster import crs, kernels
+from groundweave.raster import codec, crs, kernels
 from groundweave.raster.codec import Raster, decode, encode
 
 
@@ -94,3 +94,36 @@ def test_shapes_and_distances():
     assert d[1, 1] == 0 and d[0, 0] == pytest.approx(2**0.5)
     with pytest.raises(ValueError):
         kernels._algebra("__import__('os')", {})
+
+
+@pytest.mark.parametrize("compression", ["DEFLATE", "NONE"])
+@pytest.mark.parametrize("dtype", ["f4", "u1", "i2"])
+def test_tiled_files_hold_their_overviews(compression, dtype):
+    rng = np.random.default_rng(2)
+    r = Raster(rng.integers(0, 100, (2, 150, 70)).astype(dtype), (5.0, 0.5, 0.0, 9.0, 0.0, -0.5), 4326, 7.0, {"a": "b"})
+    data = encode(kernels.cog_convert(r, compression, 16))
+    got = decode(data, reduced=True)
+    assert (got.bands == r.bands).all() and got.bands.dtype == r.bands.dtype and (got.gt, got.srid, got.nodata, got.tags) == (r.gt, 4326, 7.0, {"a": "b"})
+    assert [o.shape for o in got.overviews] == [(2, 75, 35), (2, 38, 18), (2, 19, 9), (2, 10, 5)] and got.block == 16 and got.compression == compression
+    block = r.bands[1, 4:8, 8:12].astype(float)
+    want = block[block != 7].mean()
+    assert got.overviews[1][1, 1, 2] == (np.dtype(dtype).type(want) if dtype == "f4" else np.floor(want + 0.5))
+    # Directories come first, in the order of images; then the pixels, the smallest image's before the others'.
+    at, seen, first = struct.unpack_from("<I", data, 4)[0], [], []
+    while at:
+        tags, following = codec._directory(data, "<", at)
+        seen.append(at)
+        first.append(min(tags[324]))
+        at = following
+    assert seen == sorted(seen) and first == sorted(first, reverse=True) and seen[-1] < min(first)
+    plain = kernels.buildoverviews(r, [2, 4], "nearest")
+    back = decode(encode(plain), reduced=True)
+    assert (back.overviews[0] == r.bands[:, ::2, ::2]).all() and back.block == 0 and not decode(encode(plain)).overviews
+    for bad in (lambda: kernels.cog_convert(r, "JPEG"), lambda: kernels.cog_convert(r, "NONE", 20), lambda: kernels.buildoverviews(r, [1])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_proximity_rounds_halves_away():
+    r = Raster(np.array([[[0.5, 0.2, 0.0, -0.5, 0.4]]]))
+    assert kernels.proximity(r, None, "PIXEL").bands[0, 0].tolist() == [0.0, 1.0, 1.0, 0.0, 1.0]
