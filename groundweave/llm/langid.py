@@ -13,9 +13,10 @@ state of a new phrase, complemented. Documents are cut into stretches of ``STRET
 symbols and all stretches of a batch advance together, a symbol a step; a cut ends a
 phrase in every language alike.
 
-Learned from: at most ``docs_per_lang`` rows of each language (those of least hash), and at
-most ``chars_per_doc`` characters of each, in ``PIECES`` pieces from its head to its end.
-Each language has its own sample; none is cut for another's. Predictions read whole texts.
+Learned from: whole texts of each language (those of least hash), ``docs_per_lang`` or about
+``chars_per_lang`` characters at most; only where a language has too few others, texts over
+``chars_per_doc`` characters, by ``PIECES`` pieces from head to end. Each language has its
+own sample; none is cut for another's. Predictions read whole texts.
 
 Null text, and text without a letter, gives ``und`` with score 0; ties go to the language
 that sorts first; a null doc_id stays null; repeated rows get equal results; with nothing
@@ -129,21 +130,31 @@ def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, automata: list[np.nd
 
 
 def _pieces(text, most: int):
-    """At most ``most`` characters of a text, spread evenly over it."""
+    """A text, or of a longer one ``most`` characters in pieces spread evenly over it."""
     size = max(1, most // PIECES)
     at = lambda i: F.floor((F.length(text) - size) * i / (PIECES - 1)).cast("int") + 1
     return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *(F.substring(text, at(i), F.lit(size)) for i in range(PIECES))))
 
 
-def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_doc: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
-    """(languages, automata, symbol table, bits of a phrase) learned from labelled rows that aren't held out."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), _pieces(docs[text_col].cast("string"), chars_per_doc).alias("text"))
+def train_langid(docs: DataFrame, *, docs_per_lang: int = 40, chars_per_lang: int = 48_000, chars_per_doc: int = 12_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(languages, automata, symbol table, bits of a phrase) learned from labelled rows that aren't held out.
+
+    A language's sample is of whole texts, by the hash of their ids, until they hold
+    ``chars_per_lang`` characters or are ``docs_per_lang``. Texts over ``chars_per_doc`` come
+    last, where a language has too few others, and as pieces from all of the text.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
     usable = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    # At most docs_per_lang short rows of each language reach the driver.
-    got = usable.withColumn("k", rank).where(F.col("k") <= docs_per_lang).orderBy("lang", "k").collect()
-    languages = sorted({r.lang for r in got})
-    samples = {lang: [r.text for r in got if r.lang == lang] for lang in languages}
+    usable = usable.select("doc_id", "lang", (F.length("text") > chars_per_doc).alias("long"), _pieces(F.col("text"), chars_per_doc).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text"))
+    # At most docs_per_lang rows of bounded size of each language reach the driver.
+    got = usable.withColumn("k", rank).where(F.col("k") <= docs_per_lang).orderBy("lang", "k").select("lang", "text").collect()
+    samples: dict[str, list[str]] = {}
+    for r in got:
+        own = samples.setdefault(r.lang, [])
+        if sum(map(len, own)) < chars_per_lang:
+            own.append(r.text)
+    languages = sorted(samples)
     table = symbol_table([t for texts in samples.values() for t in texts])
     automata, bits = [], []
     for lang in languages:

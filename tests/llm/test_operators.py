@@ -334,16 +334,23 @@ def test_langid(spark, docs, none, sf_dir):
     assert set(predict_lang(docs, train_langid(none)).toPandas().lang_pred) == {"und"}
     assert predict_lang(none, model).count() == 0
     rng = np.random.default_rng(0)
-    sample, text = rng.integers(2, 5, 80).astype(np.uint8), rng.integers(2, 6, 200).astype(np.uint8)
-    plain, whole = 0, bytes(sample)
-    for a in range(0, 200, 256):
-        i, part = 0, bytes(text[a : a + 256])
-        while i < len(part):
-            n = 1
-            while i + n < len(part) and part[i : i + n + 1] in whole:
-                n += 1
-            i, plain = i + n, plain + 1
-    assert phrase_counts(text, np.array([0, 200]), [suffix_automaton(sample)])[0, 0] == plain
+    sample, other = rng.integers(2, 5, 80).astype(np.uint8), rng.integers(2, 6, 40).astype(np.uint8)
+    lengths = [200, 0, 1, 255, 256, 257, 1000, 3]  # texts below, at and across the cuts into stretches
+    texts = [rng.integers(2, 6, n).astype(np.uint8) for n in lengths]
+    counts = phrase_counts(np.concatenate(texts), np.concatenate([[0], np.cumsum(lengths)]), [suffix_automaton(sample), suffix_automaton(other)])
+    for k, whole in enumerate((bytes(sample), bytes(other))):
+        for text, got in zip(texts, counts[:, k], strict=True):
+            plain = 0
+            for a in range(0, len(text), 256):
+                i, part = 0, bytes(text[a : a + 256])
+                while i < len(part):
+                    n = 1
+                    while i + n < len(part) and part[i : i + n + 1] in whole:
+                        n += 1
+                    i, plain = i + n, plain + 1
+            assert got == plain
+    tied = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("aaa bbb ccc", "y"), ("aaa bbb ccc", "x")] * 6)], "doc_id long, text string, lang string")
+    assert set(predict_lang(tied, train_langid(tied)).toPandas().lang_pred) == {"x"}  # equal samples: the language that sorts first
 
 
 def test_langid_samples(spark, sf_dir):
