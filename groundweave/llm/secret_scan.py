@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, texts_of
+from ._common import id_and_text, texts_of, trim
 
 # Keywords, and the pattern tried at each one's hits.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -104,14 +104,22 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, i
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of a few texts, so that a task never holds many as Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans of every row, also of those without any."""
 
     def run(batches):
         automaton = _automaton()
-        for batch in batches:
+        for batch in _slices(batches):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in find_spans(t, automaton)] for t in texts_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_TYPE)], ["doc_id", "spans"])
+        trim()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
@@ -122,18 +130,19 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[sec
 
     def run(batches):
         automaton = _automaton()
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
+        for batch in _slices(batches):
+            texts, changed = batch.column(at).to_pylist(), False
             for i, text in enumerate(texts):
                 if spans := find_spans(text, automaton) if text else []:
-                    out, last = [], 0
+                    out, last, changed = [], 0, True
                     for start, end, _ in spans:
                         if start >= last:
                             out += [text[last:start], mark]
                         last = max(last, end)
                     texts[i] = "".join([*out, text[last:]])
-            columns = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            columns = [pa.array(texts, batch.schema.field(i).type) if changed and i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
