@@ -31,9 +31,9 @@ DEGREE, BEAM, ALPHA = 28, 64, 1.2
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision, for the graph; scores come from the vectors themselves."""
     wide = vectors.astype(np.float64)
-    scale = np.abs(wide).max(axis=1, keepdims=True)
-    wide /= scale
+    wide = wide / np.abs(wide).max(axis=1, keepdims=True, initial=1e-300)
     return (wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -133,7 +133,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and vector of the rows that take part."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    picked = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<float>").alias("vector"))
+    picked = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("vector"))
     return picked.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
@@ -157,14 +157,14 @@ def build_index(rows: DataFrame, *, k: int = 5, shard_nodes: int = 4096, id_col:
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h1", "h2"])
-        vectors = np.stack(group["vector"].to_numpy()).astype(np.float32)
+        vectors = np.stack(group["vector"].to_numpy()).astype(np.float64)
         graph, entry = build_graph(unit(vectors)) if len(vectors) > BEAM else (np.zeros((len(vectors), 0), np.int64), 0)
         sizes = group["ids"].map(len).to_numpy()
         owner = np.repeat(np.arange(len(vectors)), sizes)
         return pd.DataFrame({
             "shard": [int(group["shard"].iloc[0])], "dim": [vectors.shape[1]], "entry": [entry], "degree": [graph.shape[1]],
             "ids": [np.concatenate(group["ids"].to_numpy()).astype("<i8").tobytes()], "owners": [owner.astype("<i4").tobytes()],
-            "vectors": [vectors.astype("<f4").tobytes()], "graph": [graph.astype("<i4").tobytes()],
+            "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()],
         })
 
     schema = "shard int, dim int, entry int, degree int, ids binary, owners binary, vectors binary, graph binary"
@@ -185,21 +185,19 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, block_queries: i
         parts = []
         if len(asked) and len(held):
             row = held.iloc[0]
-            vectors = np.frombuffer(row["vectors"], "<f4").reshape(-1, row["dim"])
+            exact = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
             owners, ids = np.frombuffer(row["owners"], "<i4"), np.frombuffer(row["ids"], "<i8")
-            first = np.searchsorted(owners, np.arange(len(vectors) + 1))
-            exact = vectors.astype(np.float64)
+            first = np.searchsorted(owners, np.arange(len(exact) + 1))
             norm = np.sqrt((exact * exact).sum(axis=1))
-            points = unit(vectors)
-            graph = np.frombuffer(row["graph"], "<i4").reshape(len(vectors), -1).astype(np.int64)
+            points = unit(exact)
+            graph = np.frombuffer(row["graph"], "<i4").reshape(len(exact), -1).astype(np.int64)
             for a in range(0, len(asked), 512):
                 some = asked.iloc[a : a + 512]
-                q = np.stack(some["vector"].to_numpy()).astype(np.float32)
+                wide = np.stack(some["vector"].to_numpy()).astype(np.float64)
                 if graph.shape[1]:
-                    found, _ = beam_search(points, graph, row["entry"], unit(q), beam)
+                    found, _ = beam_search(points, graph, row["entry"], unit(wide), beam)
                 else:
-                    found = np.tile(np.arange(len(vectors)), (len(q), 1))
-                wide = q.astype(np.float64)
+                    found = np.tile(np.arange(len(exact)), (len(wide), 1))
                 length = np.sqrt((wide * wide).sum(axis=1))
                 score = (exact[found] * wide[:, None, :]).sum(axis=2) / (norm[found] * length[:, None])
                 score[found < 0] = -np.inf

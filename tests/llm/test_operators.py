@@ -321,6 +321,27 @@ def test_ann(spark):
     assert search(build_index(table.limit(0)), table.limit(0)).count() == 0
 
 
+def test_ann_keeps_doubles(spark):
+    """Scores are those of the double vectors themselves, beyond single precision and its range; recall holds over several shards."""
+    from groundweave.llm.ann import build_index, search
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1200, 12))
+    v[7] = v[8] * (1 + 1e-12) + 1e-11
+    v[50] *= 1e60
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    index = build_index(table, shard_nodes=300)
+    assert index.count() == 4
+    got = search(index, table.where("vec_id % 50 = 0")).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        scores = (v @ v[q]) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt(v[q] @ v[q]))
+        scores[q] = -2
+        hits += len(set(np.argsort(-scores, kind="stable")[:5]) & set(found.vec_id))
+        assert np.allclose(found.sort_values("rank").score, scores[found.sort_values("rank").vec_id], rtol=0, atol=1e-14)
+    assert got.query_id.nunique() == 24 and hits >= 0.9 * 120
+
+
 def test_langid(spark, docs, none, sf_dir):
     from groundweave.llm.langid import phrase_counts, predict_lang, suffix_automaton, train_langid
 
